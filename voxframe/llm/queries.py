@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import nearest, textform
+from voxframe.llm import nearest, textform, turns
 from voxframe.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "raw_segments"), table(spark, d, "speakers"), text=False)
+
+
+def p1_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(table(spark, d, "raw_segments"), table(spark, d, "speakers"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     recordings = table(spark, d, "recordings")
     words = textform.changed(table(spark, d, "words"), recordings, "word", "word_id")
@@ -21,7 +29,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:

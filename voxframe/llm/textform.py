@@ -19,14 +19,15 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxframe.functions.arrow import map_batches
+
 # Letters that look alike. Cyrillic letter -> Latin letter.
 CYRILLIC_TO_LATIN = dict(zip("аеорсухАВЕКМНОРСТХУіѕјІЅЈ", "aeopcyxABEKMHOPCTXYisjISJ", strict=True))
 # Greek letter -> Latin letter.
@@ -158,14 +159,13 @@ def suspect(text: Column, lang: Column | None = None) -> Column:
 
 def canonical_column(df: DataFrame, text: str, lang: str, out: str) -> DataFrame:
     """Rows of ``df`` with column ``out``, the form of ``text``; Python sees every row given."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.StringType())])
+    kept = [f for f in df.schema.fields if f.name != out]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[out] = [canonical(x if isinstance(x, str) else None, y) for x, y in zip(b[text], b[lang], strict=True)]
-            yield b[schema.names]
+    def run(b: pa.RecordBatch) -> dict:
+        form = [canonical(x, y) for x, y in zip(b.column(text).to_pylist(), b.column(lang).to_pylist(), strict=True)]
+        return {f.name: b.column(f.name) for f in kept} | {out: form}
 
-    return df.mapInPandas(run, schema)
+    return map_batches(df, run, T.StructType([*kept, T.StructField(out, T.StringType())]))
 
 
 def with_lang(df: DataFrame, recordings: DataFrame, lang: str) -> DataFrame:
