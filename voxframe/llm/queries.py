@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import nearest, textform, turns
+from voxframe.llm import nearest, terms, textform, turns
 from voxframe.sources.tables import table
 
 
@@ -28,8 +28,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.word_pairs(table(spark, d, "words"), table(spark, d, "recordings"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return terms.match_mentions(table(spark, d, "mentions"), table(spark, d, "terms"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
