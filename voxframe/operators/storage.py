@@ -36,3 +36,10 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """An even number of partitions for work that is heavy for its bytes, which adaptive execution would merge into one task."""
+    spark = df.sparkSession
+    n = 3 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
