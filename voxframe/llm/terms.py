@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.arrow import map_batches
 from voxframe.llm.textform import canonical
+from voxframe.operators.storage import spread
 
 #: Most rows and characters of a lexicon that are broadcast.
 MAX_TERMS, MAX_CHARS = 100_000, 20_000_000
@@ -206,7 +207,7 @@ def match_mentions(mentions: DataFrame, terms: DataFrame, most: float = MAX_COST
         texts = batch.column("heard").to_pylist()
         return {"heard": texts, "canonical": [best(lexicon, x, most)[0] for x in texts]}
 
-    known = map_batches(heard, run, "heard string, canonical string").where("canonical <> ''")
+    known = map_batches(spread(heard, "heard"), run, "heard string, canonical string").where("canonical <> ''")
     joined = mentions.select("mention_id", "heard").join(known, "heard", "left")
     return joined.groupBy("mention_id").agg(F.coalesce(F.max("canonical"), F.lit("")).alias("canonical"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.arrow import map_batches, map_groups
 from voxframe.llm.textform import canonical
-from voxframe.operators.storage import materialise
+from voxframe.operators.storage import materialise, spread
 
 # Hesitation sounds of Russian, English and German.
 FILLERS = "э ээ эээ э-э э-э-э э-эм эм эмм м мм ммм м-м хм хмм гм uh uhh uh-uh uh-uh-uh uhm um umm er erm eh hm hmm mm mmm mhm äh ähh ähm öh öhm".split()
@@ -259,7 +259,7 @@ def spoken_parts(raw: DataFrame, speakers: DataFrame) -> DataFrame:
     parts = materialise(map_batches(rows, _parse_rows, _PARTS), "turn_parts")
     labels = parts.where("label is not null").select("rec_id", "label").distinct()
     roster = speakers.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("speaker_no").cast("int").alias("speaker_no"), "display_name").where("speaker_no is not null").distinct()
-    names = map_groups(labels, roster, ["rec_id"], _match_group, "rec_id long, label string, speaker_no int")
+    names = map_groups(spread(labels, "rec_id"), spread(roster, "rec_id"), ["rec_id"], _match_group, "rec_id long, label string, speaker_no int")
     parts = parts.join(names, ["rec_id", "label"], "left")
     # What looked like a label but names nobody is text, spoken by whoever speaks before it in the row.
     own = Window.partitionBy("rec_id", "seg_idx").orderBy("part")
