@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import leakage, nearest, sentences, terms, textform, turns
+from voxframe.llm import leakage, nearest, packing, sentences, terms, textform, turns
 from voxframe.sources.tables import table
 
 
@@ -32,6 +32,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.match_mentions(table(spark, d, "mentions"), table(spark, d, "terms"))
 
 
+def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return packing.sequences(table(spark, d, "documents"))
+
+
+def p6_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused_space(packing.sequences(table(spark, d, "documents")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -41,7 +49,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_unused": p6_unused, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
