@@ -35,6 +35,7 @@ def map_groups(left: DataFrame, right: DataFrame, keys: list[str], function: Cal
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return pa.Table.from_pydict(function(a.to_pydict(), b.to_pydict()), schema=to_arrow_schema(kind))
 
+    right = right.select(*(right[c].alias(c) for c in right.columns))  # columns of its own, where both sides come from one table
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, kind)
 
 
