@@ -18,6 +18,7 @@ comes twice with one text gives its units once.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -48,7 +49,6 @@ _MARK = regex.compile(r"\s*(?:[-*•–—#>]+\s*)?\d{1,9}[.)](?=\s)")
 _UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _UNSPACED_HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _BLANK_RUN = regex.compile(r"(?<=\S)\s+(?=\S)")
-_TRANSPARENT = {chr(c) for c, to in _FOLD.items() if to is None}
 
 
 @functools.lru_cache(1 << 15)
@@ -57,73 +57,68 @@ def _known(token: str) -> str:
     return canonical(token, "ru" if ru else "en")
 
 
-def _flat(line: str) -> list[str]:
-    """Each character in a plain form of one character; '' for one that can't be seen."""
-    out = []
-    for ch in line:
-        if ch.isascii():
-            out.append(ch)
-        elif ch in "！？．，：；（）" or ch == "｡":
-            out.append({"．": ".", "（": "(", "）": ")", "，": ",", "：": ":", "；": ";"}.get(ch, ch))
-        else:
-            to = _FOLD.get(ord(ch), ch)
-            out.append(to if to is None or len(to) == 1 else ch)
-    return [x or "" for x in out]
+_UNSEEN = "\0"
+_FLAT = {c: _UNSEEN if to is None else to for c, to in _FOLD.items() if to is None or len(to) == 1} | {ord(c): c for c in "！？｡"}
+_QUOTE = regex.compile(f"[{regex.escape(_OPENERS + _CLOSERS)}]")
+_STOPS = regex.compile(f"[{regex.escape(_END)}][{regex.escape(_END)}{_UNSEEN}]*")
+
 
+def _flat(line: str) -> str:
+    """Each character in a plain form of one character; NUL for one that can't be seen."""
+    return line if line.isascii() else line.translate(_FLAT)
 
-def _quotes(flat: list[str]) -> tuple[list[int], dict[int, int]]:
-    """Depth of closed pairs at each character, and the opener of each closer."""
-    depth_change = [0] * (len(flat) + 1)
+
+def _quotes(flat: str) -> tuple[list[int], list[int], dict[int, int]]:
+    """Positions at which the depth of closed pairs changes, the depth from each on, and the opener of each closer."""
     opener_of: dict[int, int] = {}
     stack: list[int] = []
-    for i, ch in enumerate(flat):
-        if not ch:
-            continue
-        top = flat[stack[-1]] if stack else ""
-        if stack and ch in _PAIRS[top]:
+    for m in _QUOTE.finditer(flat):
+        i, ch = m.start(), m[0]
+        if stack and ch in _PAIRS[flat[stack[-1]]]:
             opener_of[i] = stack.pop()
         elif ch in _PAIRS:
             stack.append(i)
-        elif ch in "»”」』）)]}》":
+        else:
             for k in range(len(stack) - 1, -1, -1):
                 if ch in _PAIRS[flat[stack[k]]]:
                     opener_of[i] = stack[k]
                     del stack[k:]
                     break
-    for c, o in opener_of.items():
-        depth_change[o] += 1
-        depth_change[c] -= 1
-    depth, out = 0, []
-    for i in range(len(flat)):
-        depth += depth_change[i]
-        out.append(depth)
-    return out, opener_of
+    at, depth, level = [-1], [0], 0
+    for i, change in sorted([(o, 1) for o in opener_of.values()] + [(c, -1) for c in opener_of]):
+        level += change
+        at.append(i)
+        depth.append(level)
+    return at, depth, opener_of
 
 
-def _before(flat: list[str], i: int) -> tuple[str, str]:
+def _gap(ch: str) -> bool:
+    return ch == _UNSEEN or ch.isspace()
+
+
+def _before(flat: str, i: int) -> tuple[str, str]:
     """The token that ends before ``i`` and the token before that."""
     j = i
-    while j > 0 and (not flat[j - 1] or not flat[j - 1].isspace()) and flat[j - 1] not in _OPENERS:
+    while j > 0 and not flat[j - 1].isspace() and flat[j - 1] not in _OPENERS:
         j -= 1
-    token = "".join(flat[j:i])
-    while j > 0 and (not flat[j - 1] or flat[j - 1].isspace()):
+    token = flat[j:i]
+    while j > 0 and _gap(flat[j - 1]):
         j -= 1
     k = j
-    while k > 0 and (not flat[k - 1] or not flat[k - 1].isspace()) and flat[k - 1] not in _OPENERS:
+    while k > 0 and not flat[k - 1].isspace() and flat[k - 1] not in _OPENERS:
         k -= 1
-    return token, "".join(flat[k:j])
+    return token.replace(_UNSEEN, ""), flat[k:j].replace(_UNSEEN, "")
 
 
-def _token_kind(flat: list[str], i: int, mark_end: int) -> str:
-    """Kind of the word before a full stop at ``i``."""
-    if i < mark_end:
-        return "mark"
-    token, earlier = (_known(x) for x in _before(flat, i))
-    low, low_earlier = token.lower().strip("("), earlier.lower()
+@functools.lru_cache(1 << 16)
+def _kind_of(token: str, earlier: str) -> str:
+    """Kind of the word before a full stop."""
+    token, low_earlier = _known(token), _known(earlier).lower()
+    low = token.lower().strip("(")
     if not low:
         return "none"
     if low in ("г", "гг"):
-        return "may" if low_earlier[-1:].isdigit() or low_earlier in ("гг.",) else "never"
+        return "may" if low_earlier[-1:].isdigit() or low_earlier == "гг." else "never"
     if low in ("д", "п") and low_earlier == "т.":
         return "may"
     if low == "д" or low in NEVER or f"{low_earlier.rstrip('.')}.{low}" in NEVER:
@@ -138,15 +133,14 @@ def _token_kind(flat: list[str], i: int, mark_end: int) -> str:
     return "word"
 
 
-def _next_kind(flat: list[str], i: int) -> tuple[str, bool]:
+def _next_kind(flat: str, i: int) -> tuple[str, bool]:
     """Kind of what follows ``i`` and whether a blank comes first."""
     blank, n, opened = False, len(flat), False
     while i < n:
         ch = flat[i]
-        if not ch:
-            i += 1
-            continue
-        if ch.isspace():
+        if ch == _UNSEEN:
+            pass
+        elif ch.isspace():
             blank = True
         elif ch in "-–—":
             return "dash", blank
@@ -156,9 +150,7 @@ def _next_kind(flat: list[str], i: int) -> tuple[str, bool]:
             return "digit", blank
         elif ch.isalpha():
             return ("lower" if ch.islower() else "upper" if ch.isupper() or ch.istitle() else "opened" if opened else "letter"), blank
-        elif ch in "*_#" and blank:
-            pass
-        else:
+        elif not (ch in "*_#" and blank):
             return "mark", blank
         i += 1
     return "end", blank
@@ -167,45 +159,45 @@ def _next_kind(flat: list[str], i: int) -> tuple[str, bool]:
 def candidates(line: str) -> list[tuple[int, tuple[str, ...]]]:
     """Positions that may end a unit, with their description ``(mark, word before, next, quotes)``."""
     flat = _flat(line)
-    depth, opener_of = _quotes(flat)
+    at, depth, opener_of = _quotes(flat)
     m = _MARK.match(line)
     mark_end = m.end() if m else 0
     out, i, n = [], 0, len(flat)
-    while i < n:
-        if flat[i] in _END and flat[i]:
-            start, j = i, i + 1
-            while j < n and (not flat[j] or flat[j] in _END):
-                j += 1
-            run = "".join(flat[start:j])
-            mark = "full" if any(c in _FULL for c in run) else "danda" if any(c in _BRAHMIC for c in run) else "ask" if any(c in "!?؟" for c in run) else "more" if "…" in run or ".." in run else "stop"
-            quotes, k = "out", j
-            # closers that follow, a blank before a guillemet allowed
-            while k < n:
-                at = k
-                while at < n and (not flat[at] or flat[at].isspace()):
-                    at += 1
-                if at < n and at in opener_of and (at == k or flat[at] == "»" or all(not flat[x] for x in range(k, at))):
-                    o = opener_of[at] - 1
-                    while o >= 0 and (not flat[o] or flat[o].isspace() or flat[o] in "-–—*#>" or o < mark_end):
-                        o -= 1
-                    quotes = "led" if o >= 0 and flat[o] == ":" else "own" if o < 0 or flat[o] in _END or flat[o] in _CLOSERS else "within"
-                    k = at + 1
-                else:
-                    break
-            follows, blank = _next_kind(flat, k)
-            if depth[k - 1] > 0:
-                quotes = "inside"
-            kind = _token_kind(flat, start, mark_end) if mark == "stop" else "-"
-            open_script = blank or mark == "full" or (quotes != "out" and _UNSPACED_HAN.match(line[k : k + 1]) is not None) or (k < n and flat[k] in "「『“«（(" and quotes != "inside" and mark == "full")
-            if open_script or follows == "end":
-                out.append((k - 1, (mark, kind, follows + ("" if blank else "+"), quotes)))
-            i = k
-        else:
-            i += 1
-    for b in _BLANK_RUN.finditer(line):
-        if _UNSPACED.match(line[b.start() - 1]) and _UNSPACED.match(line[b.end()]):
-            out.append((b.start() - 1, ("blank", "-", "unspaced", "inside" if depth[b.start() - 1] else "out")))
-    return sorted(dict(out).items())
+    for stop in _STOPS.finditer(flat):
+        start, j = stop.span()
+        if start < i:
+            continue  # among the closers of the stop before
+        run = stop[0]
+        mark = "full" if any(c in _FULL for c in run) else "danda" if any(c in _BRAHMIC for c in run) else "ask" if any(c in "!?؟" for c in run) else "more" if "…" in run or ".." in run else "stop"
+        if mark in ("stop", "ask") and j < n and flat[j].isalnum():
+            continue  # within a word or number
+        quotes, k = "out", j
+        while k < n and opener_of:  # closers that follow, a blank before a guillemet allowed
+            c = k
+            while c < n and _gap(flat[c]):
+                c += 1
+            if c < n and c in opener_of and (c == k or flat[c] == "»" or flat[k:c].strip(_UNSEEN) == ""):
+                o = opener_of[c] - 1
+                while o >= 0 and (_gap(flat[o]) or flat[o] in "-–—*#>" or o < mark_end):
+                    o -= 1
+                quotes = "led" if o >= 0 and flat[o] == ":" else "own" if o < 0 or flat[o] in _END or flat[o] in _CLOSERS else "within"
+                k = c + 1
+            else:
+                break
+        i = k
+        follows, blank = _next_kind(flat, k)
+        if opener_of and depth[bisect.bisect_right(at, k - 1) - 1] > 0:
+            quotes = "inside"
+        if blank or mark == "full" or follows == "end" or (quotes not in ("out", "inside") and k < n and _UNSPACED_HAN.match(line[k])):
+            kind = "-" if mark != "stop" else "mark" if start < mark_end else _kind_of(*_before(flat, start))
+            out.append((k - 1, (mark, kind, follows + ("" if blank else "+"), quotes)))
+    if _UNSPACED.search(line):
+        for b in _BLANK_RUN.finditer(line):
+            if _UNSPACED.match(line[b.start() - 1]) and _UNSPACED.match(line[b.end()]):
+                inside = depth[bisect.bisect_right(at, b.start() - 1) - 1] > 0
+                out.append((b.start() - 1, ("blank", "-", "unspaced", "inside" if inside else "out")))
+        out = sorted(dict(out).items())
+    return out
 
 
 def convention(d: tuple[str, ...]) -> bool:
@@ -257,6 +249,19 @@ def _decode(described: list[tuple[str, ...]], w: dict[str, float]) -> list[bool]
     return viterbi([sum(w.get(f, 0.0) for f in features(d)) for d in described], w)
 
 
+def decoder(w: dict[str, float]):
+    """Decoding with fixed weights; descriptions are few, so their scores are kept."""
+    scores: dict[tuple[str, ...], float] = {}
+
+    def decode(described: list[tuple[str, ...]]) -> list[bool]:
+        for d in described:
+            if d not in scores:
+                scores[d] = sum(w.get(f, 0.0) for f in features(d))
+        return viterbi([scores[d] for d in described], w)
+
+    return decode
+
+
 def _moves(tags: list[bool]) -> Iterator[str]:
     before = True
     for t in tags:
@@ -318,13 +323,13 @@ def train(lines: list[tuple[list[tuple[str, ...]], list[bool]]], rounds: int = 6
 # ---- the plan
 
 
-def units(text: str | None, w: dict[str, float]) -> list[tuple[int, int]]:
-    """1-based first and last code point of each unit."""
+def units(text: str | None, decode) -> list[tuple[int, int]]:
+    """1-based first and last code point of each unit; ``decode``: a ``decoder``."""
     out: list[tuple[int, int]] = []
     for m in _LINE.finditer(text or ""):
         line, at = m[0], m.start()
         found = candidates(line)
-        tags = _decode([d for _, d in found], w)
+        tags = decode([d for _, d in found])
         start = 0
         for end in [*(i + 1 for (i, _), t in zip(found, tags, strict=True) if t), len(line)]:
             part = line[start:end]
@@ -348,9 +353,10 @@ def sentence_units(documents: DataFrame, weights: dict[str, float] | None = None
     shared = documents.sparkSession.sparkContext.broadcast(train_on(documents) if weights is None else weights)
 
     def run(batch: pa.RecordBatch) -> dict:
+        decode = decoder(shared.value)
         ids, starts, ends = [], [], []
         for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for s, e in units(text, shared.value):
+            for s, e in units(text, decode):
                 ids.append(i)
                 starts.append(s)
                 ends.append(e)
