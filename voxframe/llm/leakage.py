@@ -9,9 +9,10 @@ Latent semantic retrieval, then exact checks:
    partition adds its part of A'AX, the small sketch is orthonormalised on the
    driver, and a second pass rotates it to the leading singular vectors.
 3. Every window of words of every document is held against the windows of the
-   items by cosine in that space. Item windows lie so close to each other that
-   any run that counts holds one whole; a document window equal to it has cosine
-   1, so the search misses no verbatim leak at any threshold below 1.
+   items by cosine in that space (for verbatim leaks, against those in its own
+   orthant). Item windows lie so close to each other that
+   any run that counts holds one whole; a document window equal to it has the
+   same vector, so the search misses no verbatim leak at any threshold below 1.
 4. For verbatim leaks, the run of equal words around a candidate is measured.
    For paraphrases, the longest common subsequence of the item and the stretch
    around the candidate must be long, and the item's answers (its numbers and
@@ -24,32 +25,39 @@ of their number, and searched in blocks.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.arrow import map_batches, map_group
-from voxframe.llm.textform import TO_LATIN, canonical
+from voxframe.llm import textform
 from voxframe.operators.storage import materialise
 
 #: Hashed vocabulary, words of a passage, kept dimensions, extra ones of the sketch.
 BUCKETS, PASSAGE, DIMENSIONS, EXTRA = 1 << 14, 16, 32, 16
 #: Words of a window; item words that are read to the driver; item windows that are searched at once.
 WINDOW, MAX_ITEM_WORDS, BLOCK = 8, 20_000_000, 8192
+#: Coordinates whose signs a verbatim search goes by.
+SIGNS = 24
 _CHUNKS = 64
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
-_RUSSIAN = regex.compile(r"[бвгджзийклмнптфцчшщъыьэюя]", regex.IGNORECASE)
+# Words in text without characters that need folding; these hide none of a word's letters.
+_WORD = re.compile(r"[^\W_]+")
+_UNUSUAL = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿА-Яа-яЁё«»“”„–—…]")
+_RUSSIAN = re.compile(r"[бвгджзийклмнптфцчшщъыьэюя]", re.IGNORECASE)
 _TWINS = set("ABCEHKMOPTXYАВСЕНКМОРТХУІЅЈ")
 
 
 def _key(word: str) -> str:
-    """Lower case; a word that consists of look-alike letters alone is read in Latin."""
+    """A word in one form and lower case; one that consists of look-alike letters alone is read in Latin."""
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", textform.one_word(unicodedata.normalize("NFD", word), _RUSSIAN.search(word) is not None))
     up = word.upper()
-    return up.translate(TO_LATIN).lower() if set(up) <= _TWINS else word.lower()
+    return up.translate(textform.TO_LATIN).lower() if set(up) <= _TWINS else word.lower()
 
 
 def _hash(word: str) -> int:
@@ -62,19 +70,27 @@ def _hash(word: str) -> int:
 _HASHES: dict[str, int] = {}
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits as written, once what can't be seen is gone and accents are composed."""
+    if _UNUSUAL.search(text):
+        text = unicodedata.normalize("NFC", textform.fold(text))
+    return _WORD.findall(text)
+
+
 def word_hashes(text: str | None) -> list[int]:
     """32-bit hashes of a text's words in order."""
     if not text:
         return []
     if len(_HASHES) > 1 << 20:
         _HASHES.clear()
-    out = []
-    for w in _WORD.findall(canonical(text, "ru" if _RUSSIAN.search(text) else "en")):
-        h = _HASHES.get(w)
-        if h is None:
-            h = _HASHES[w] = _hash(_key(w))
-        out.append(h)
-    return out
+    words = words_of(text)
+    try:
+        return [_HASHES[w] for w in words]
+    except KeyError:
+        for w in words:
+            if w not in _HASHES:
+                _HASHES[w] = _hash(_key(w))
+        return [_HASHES[w] for w in words]
 
 
 def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -188,17 +204,20 @@ def fit(docs: DataFrame, seed: int = 7) -> np.ndarray:
 # ---- the search
 
 
-def _windows(values: np.ndarray, row: np.ndarray, vectors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and unit latent vector of each window that lies in one row."""
+def _windows(values: np.ndarray, row: np.ndarray, vectors: np.ndarray, width: int, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and unit latent vector of each window that lies in one row (and holds none but words of ``vocabulary``)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros((0, vectors.shape[1]), dtype=np.float32)
-    starts = np.flatnonzero(row[:n] == row[width - 1 :])
-    e = vectors[_buckets(values)]
-    total = e[:n].copy()
+    bucket = _buckets(values)
+    inside = row[:n] == row[width - 1 :]
+    if vocabulary is not None:
+        known = np.r_[0, np.cumsum(vocabulary[bucket])]
+        inside &= known[width:] - known[:n] == width
+    starts = np.flatnonzero(inside)
+    total = vectors[bucket[starts]]
     for i in range(1, width):
-        total += e[i : i + n]
-    total = total[starts]
+        total += vectors[bucket[starts + i]]
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     return starts, total / np.maximum(norm, 1e-12)
 
@@ -242,20 +261,28 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return bin(full & ~v).count("1")
 
 
-def _candidates(values, row, vectors, groups, cosine):
-    """``(doc position, item, item position)`` of windows whose cosine reaches ``cosine``."""
-    for width, (unit, item, start, words, vocabulary) in groups.items():
-        starts, x = _windows(values, row, vectors, width)
-        if vocabulary is not None and len(starts):  # equal windows have none but words of items
-            known = np.r_[0, np.cumsum(vocabulary[_buckets(values)])]
-            ok = known[starts + width] - known[starts] == width
-            starts, x = starts[ok], x[ok]
-        for a in range(0, len(starts), 2048):
-            sim = x[a : a + 2048] @ unit.T
-            best = sim.max(axis=1) >= cosine
-            for i in np.flatnonzero(best):
-                for j in np.flatnonzero(sim[i] >= cosine):
-                    yield int(starts[a + i]), int(item[j]), int(start[j])
+def _codes(x: np.ndarray) -> np.ndarray:
+    """Signs of the first coordinates, as one number."""
+    return (x[:, :SIGNS] > 0).astype(np.int64) @ (1 << np.arange(SIGNS, dtype=np.int64))
+
+
+def _candidates(starts: np.ndarray, x: np.ndarray, unit: np.ndarray, cosine: float, signs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place among ``starts``, item window) whose cosine reaches ``cosine``.
+
+    signs: only pairs in one orthant of the first coordinates are compared. Equal windows have equal vectors, so
+    they always are; others that are near may be missed. Without it, all are compared.
+    """
+    if signs:
+        mine, theirs = _codes(x), _codes(unit)
+        order = np.argsort(theirs, kind="stable")
+        low, high = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
+        n = high - low
+        i = np.repeat(np.arange(len(starts)), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        near = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], unit[j[a : a + 65536]]) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, dtype=bool)])
+        return i[near], j[near]
+    found = [np.nonzero(x[a : a + 1024] @ unit.T >= cosine) for a in range(0, len(starts), 1024)]
+    return (np.concatenate([i + 1024 * k for k, (i, _) in enumerate(found)] or [np.zeros(0, int)]), np.concatenate([j for _, j in found] or [np.zeros(0, int)]))
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = 12, cosine: float = 0.98) -> DataFrame:
@@ -301,22 +328,17 @@ def _search(documents: DataFrame, items: DataFrame, run: int, cosine: float, sha
         doc_ids = b.column("doc_id").to_pylist()
         first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
         found: dict[tuple[int, int], float] = {}
-        by_width = {}
-        for (width, a), (unit, item, start) in groups_.items():
-            by_width[width, a] = (unit, item, start, None, vocabulary_)
         for lo in range(0, len(doc_ids), 500):
-            hi = min(lo + 500, len(doc_ids))
-            s, e = int(first[lo]), int(first[hi])
+            s, e = int(first[lo]), int(first[min(lo + 500, len(doc_ids))])
             part, part_row = values[s:e], row[s:e]
-            for (width, _), g in by_width.items():
-                for p, k, q in _candidates(part, part_row, vectors_, {width: g}, cosine):
+            for (width, _), (unit, item, start) in groups_.items():
+                starts, x = _windows(part, part_row, vectors_, width, vocabulary_)  # windows equal to an item's hold none but words of items
+                i, j = _candidates(starts, x, unit, cosine, signs=share is None)
+                for p, k, q in zip(starts[i].tolist(), item[j].tolist(), start[j].tolist(), strict=True):
                     d = int(part_row[p])
-                    if share is None and (d, k) in found:
-                        continue
-                    doc, at = values[first[d] : first[d + 1]], int(s + p - first[d])
-                    text = texts_[k]
+                    doc, at, text = values[first[d] : first[d + 1]], int(s + p - first[d]), texts_[k]
                     if share is None:
-                        if _run_around(doc, text, at, q) >= min(run, len(text)):
+                        if (d, k) not in found and doc[at] == text[q] and _run_around(doc, text, at, q) >= min(run, len(text)):
                             found[d, k] = 1.0
                     else:
                         a = max(0, at - q - len(text) // 4)

@@ -72,6 +72,11 @@ def _folding() -> dict[int, str | None]:
 _FOLD = _folding()
 
 
+def fold(text: str) -> str:
+    """Plain blanks, hyphens and widths, and nothing invisible; letters and accents as they were."""
+    return text.translate(_FOLD)
+
+
 def _script(ch: str) -> str:
     """c or l: a letter of that alphabet alone; w: one with a twin; o: any other letter."""
     if ch in _WEAK:
@@ -115,7 +120,7 @@ def _joined(piece: str) -> str:
     return "".join(out)
 
 
-def _word(word: str, ru: bool) -> str:
+def one_word(word: str, ru: bool) -> str:
     if word.isascii() and not ru:
         return word
     pieces = word.split("-")
@@ -134,7 +139,7 @@ def _word(word: str, ru: bool) -> str:
 @functools.lru_cache(1 << 16)
 def _segment(segment: str, ru: bool) -> str:
     plain = unicodedata.normalize("NFD", segment.translate(_FOLD))
-    return unicodedata.normalize("NFC", _WORD.sub(lambda m: _word(m[0], ru), plain))
+    return unicodedata.normalize("NFC", _WORD.sub(lambda m: one_word(m[0], ru), plain))
 
 
 def canonical(text: str | None, lang: str | None) -> str | None:
