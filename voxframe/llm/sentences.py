@@ -32,6 +32,7 @@ from voxframe.llm.textform import _FOLD, canonical
 
 #: Most documents of the training sample, and most weights that are broadcast.
 SAMPLE, MAX_WEIGHTS = 1500, 200_000
+MARGIN = 3.0
 
 # Abbreviations that never end a sentence, then those that may.
 NEVER = set("dr mr mrs ms mme mlle prof no nr nos vol p pp fig figs approx ca vs cf e.g i.e e.g. bzw z.b d.h u.a p.ex ул им рис табл см ок стр гл проф акад пл пр оз т.е т.к напр доц".split()) | {"डॉ", "श्री", "د", "أ", "p. ex"}
@@ -289,19 +290,31 @@ def training_lines(texts: list[str]) -> list[tuple[list[tuple[str, ...]], list[b
     return out
 
 
-def train(lines: list[tuple[list[tuple[str, ...]], list[bool]]], rounds: int = 6) -> dict[str, float]:
+def _every_description() -> Iterator[tuple[str, ...]]:
+    for mark, words in (("stop", ("word", "may", "never", "initial", "letter", "number", "ordinal", "mark", "none")), ("ask", "-"), ("more", "-"), ("full", "-"), ("danda", "-")):
+        for word in words:
+            for follows in ("upper", "lower", "digit", "letter", "opened", "dash", "mark", "end"):
+                for blank in ("", "+") if mark in ("full", "more", "danda") or follows == "end" else ("",):
+                    for quotes in ("out", "inside", "own", "led", "within"):
+                        yield (mark, word, follows + blank, quotes)
+    yield ("blank", "-", "unspaced", "out")
+    yield ("blank", "-", "unspaced", "inside")
+
+
+def train(lines: list[tuple[list[tuple[str, ...]], list[bool]]], rounds: int = 30) -> dict[str, float]:
     """Averaged structured perceptron; the same lines give the same weights."""
     w: dict[str, float] = {}
     total: dict[str, float] = {}
     step = 0
-    # Prior for descriptions that no training line shows: the conventions' own reading of each mark.
-    for d in [("full", "-", "letter+", "out"), ("danda", "-", "letter", "out"), ("blank", "-", "unspaced", "out"), ("stop", "word", "upper", "out"), ("ask", "-", "upper", "out"), ("stop", "never", "upper", "out")]:
-        lines = [*lines, ([d], [convention(d)])]
+    # Descriptions that the sample doesn't show are learnt from lines of their own, after either tag.
+    for before in (("stop", "never", "lower", "out"), ("stop", "word", "upper", "out")):
+        lines = [*lines, *(([before, d], [convention(before), convention(d)]) for d in _every_description())]
     for _ in range(rounds):
         wrong = 0
         for described, tags in lines:
             step += 1
-            got = _decode(described, w)
+            # The right tags must win by a margin, so each wrong one gets a bonus here.
+            got = viterbi([sum(w.get(f, 0.0) for f in features(d)) + (-MARGIN if t else MARGIN) for d, t in zip(described, tags, strict=True)], w)
             if got != tags:
                 wrong += 1
                 changes: dict[str, float] = {}
@@ -316,7 +329,7 @@ def train(lines: list[tuple[list[tuple[str, ...]], list[bool]]], rounds: int = 6
                     w[f] = w.get(f, 0.0) + c
                     total[f] = total.get(f, 0.0) + c * step
         if not wrong:
-            break
+            return {f: x for f, x in w.items() if x}
     return {f: x - total[f] / (step + 1) for f, x in w.items() if x or total[f]}
 
 

@@ -92,14 +92,27 @@ def _own(ch: str) -> str:
     return "c" if "Ѐ" <= ch <= "ӿ" else "l" if ch < "Ͱ" else "g"
 
 
+def _kinds(piece: str) -> set[str]:
+    """Scripts of a decomposed piece's letters; x: a Latin letter with a mark, which a Cyrillic word may hold by mistake."""
+    out = set()
+    for i, c in enumerate(piece):
+        if unicodedata.combining(c):
+            continue
+        kind = _script(c)
+        if kind == "w" and i + 1 < len(piece) and unicodedata.combining(piece[i + 1]) and len(unicodedata.normalize("NFC", piece[i : i + 2])) == 1:
+            kind = "c" if _own(c) == "c" else "x"
+        out.add(kind)
+    return out
+
+
 def _piece(piece: str, otherwise: str) -> str:
     """The letters of one piece in the alphabets their neighbours tell; otherwise: of a piece that doesn't tell."""
-    kinds = {_script(c) for c in piece if not unicodedata.combining(c)}
+    kinds = _kinds(piece)
     if "o" in kinds:
         return piece
     if "c" in kinds and "l" in kinds:
         return _joined(piece)
-    script = "c" if "c" in kinds else "l" if "l" in kinds else otherwise
+    script = "c" if "c" in kinds else "l" if kinds & {"l", "x"} else otherwise
     return piece.translate(TO_CYRILLIC if script == "c" else TO_LATIN)
 
 
@@ -124,8 +137,8 @@ def one_word(word: str, ru: bool) -> str:
     if word.isascii() and not ru:
         return word
     pieces = word.split("-")
-    kinds = [{_script(c) for c in p if not unicodedata.combining(c)} for p in pieces]
-    told = next(("c" if "c" in k else "l" for k in kinds if k & {"c", "l"}), None)
+    kinds = [_kinds(p) for p in pieces]
+    told = next(("c" if "c" in k else "l" for k in kinds if k & {"c", "l", "x"}), None)
     out = []
     for p, k in zip(pieces, kinds, strict=True):
         own = {_own(c) for c in p if not unicodedata.combining(c)}
