@@ -43,3 +43,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     n = 3 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *columns)
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """``df`` itself, or, where its scan has fewer partitions than there are cores, dealt to as many as those."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
