@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.arrow import map_batches, map_group
 from voxframe.llm import textform
-from voxframe.operators.storage import materialise
+from voxframe.operators.storage import fill_cores, materialise
 
 #: Hashed vocabulary, words of a passage, kept dimensions, extra ones of the sketch.
 BUCKETS, PASSAGE, DIMENSIONS, EXTRA = 1 << 14, 16, 32, 16
@@ -100,7 +101,7 @@ def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
         return {key: b.column(key), "words": [word_hashes(t) for t in b.column(text).to_pylist()]}
 
     rows = df.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return map_batches(rows, run, f"{key} long, words array<int>").where("size(words) > 0")
+    return map_batches(fill_cores(rows), run, f"{key} long, words array<int>").where("size(words) > 0")
 
 
 # ---- the latent space
@@ -152,8 +153,8 @@ def _partials(docs: DataFrame, each, width: int) -> np.ndarray:
     return out.reshape(BUCKETS, width)
 
 
-def fit(docs: DataFrame, seed: int = 7) -> np.ndarray:
-    """``(BUCKETS, DIMENSIONS)``: the IDF-weighted latent vector of each bucket, from all passages of ``docs``."""
+def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """IDF of each bucket and its IDF-weighted latent vector ``(BUCKETS, DIMENSIONS)``, from all passages of ``docs``."""
     spark = docs.sparkSession
 
     def count(words: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, seed: int = 7) -> np.ndarray:
     small = q.T @ z
     _, u = np.linalg.eigh((small + small.T) / 2)
     v = q @ u[:, ::-1][:, :DIMENSIONS]
-    return (v * idf[:, None]).astype(np.float32)
+    return idf, (v * idf[:, None]).astype(np.float32)
 
 
 # ---- the search
@@ -266,23 +267,36 @@ def _codes(x: np.ndarray) -> np.ndarray:
     return (x[:, :SIGNS] > 0).astype(np.int64) @ (1 << np.arange(SIGNS, dtype=np.int64))
 
 
-def _candidates(starts: np.ndarray, x: np.ndarray, unit: np.ndarray, cosine: float, signs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place among ``starts``, item window) whose cosine reaches ``cosine``.
+def _candidates(starts: np.ndarray, x: np.ndarray, unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place among ``starts``, item window) in one orthant of the first coordinates whose cosine reaches ``cosine``.
 
-    signs: only pairs in one orthant of the first coordinates are compared. Equal windows have equal vectors, so
-    they always are; others that are near may be missed. Without it, all are compared.
+    Equal windows have equal vectors, so they always meet; others that are near may not.
     """
-    if signs:
-        mine, theirs = _codes(x), _codes(unit)
-        order = np.argsort(theirs, kind="stable")
-        low, high = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
-        n = high - low
-        i = np.repeat(np.arange(len(starts)), n)
-        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-        near = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], unit[j[a : a + 65536]]) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, dtype=bool)])
-        return i[near], j[near]
-    found = [np.nonzero(x[a : a + 1024] @ unit.T >= cosine) for a in range(0, len(starts), 1024)]
-    return (np.concatenate([i + 1024 * k for k, (i, _) in enumerate(found)] or [np.zeros(0, int)]), np.concatenate([j for _, j in found] or [np.zeros(0, int)]))
+    mine, theirs = _codes(x), _codes(unit)
+    order = np.argsort(theirs, kind="stable")
+    low, high = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
+    n = high - low
+    i = np.repeat(np.arange(len(starts)), n)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    near = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], unit[j[a : a + 65536]]) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, dtype=bool)])
+    return i[near], j[near]
+
+
+def _stretches(doc: np.ndarray, text: np.ndarray, k: int, groups: dict, vectors: np.ndarray, cosine: float) -> Iterator[float]:
+    """Share of item ``k`` in common, in order, with each stretch of ``doc`` around a window near one of the item's."""
+    n, seen = len(text), set()
+    for (width, _), (unit, item, start) in groups.items():
+        own = np.flatnonzero(item == k)
+        if not len(own):
+            continue
+        starts, x = _windows(doc, np.zeros(len(doc), dtype=np.int64), vectors, width)
+        for a in range(0, len(starts), 4096):
+            i, j = np.nonzero(x[a : a + 4096] @ unit[own].T >= cosine)
+            # Places that imply about the same begin of the item are one stretch.
+            seen |= set(((starts[a + i] - start[own[j]]) // max(1, n // 4)).tolist())
+    for place in sorted(seen):
+        begin = max(0, place * max(1, n // 4) - n // 4)
+        yield common_subsequence(text.tolist(), doc[begin : begin + n + n // 2 + n // 2].tolist()) / n
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = 12, cosine: float = 0.98) -> DataFrame:
@@ -306,9 +320,9 @@ def _search(documents: DataFrame, items: DataFrame, run: int, cosine: float, sha
     rows = sorted({(r["item_id"], tuple(r["words"])) for r in held.collect()})
     if not rows:
         return spark.createDataFrame([], schema)
-    vectors = fit(docs)
+    idf, vectors = fit(docs)
     ids, texts = [r[0] for r in rows], [np.array(r[1], dtype=np.int32) for r in rows]
-    answers = [_answers(t, vectors) for t in texts] if share is not None else None
+    answers = [_answers(t, idf) for t in texts] if share is not None else None
     vocabulary = None
     if share is None:
         vocabulary = np.zeros(BUCKETS, dtype=np.int64)
@@ -328,24 +342,31 @@ def _search(documents: DataFrame, items: DataFrame, run: int, cosine: float, sha
         doc_ids = b.column("doc_id").to_pylist()
         first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
         found: dict[tuple[int, int], float] = {}
-        for lo in range(0, len(doc_ids), 500):
+        if share is not None:
+            needed: dict[int, list[int]] = {}
+            for k, own in enumerate(answers_):
+                for h in own:
+                    needed.setdefault(h, []).append(k)
+            for d in range(len(doc_ids)):
+                doc = values[first[d] : first[d + 1]]
+                there = set(doc.tolist())
+                met = Counter(k for h in there & needed.keys() for k in needed[h])
+                for k in (k for k, n in met.items() if n == len(answers_[k])):  # the answers must be there, so no other item can be
+                    for common in _stretches(doc, texts_[k], k, groups_, vectors_, cosine):
+                        found[d, k] = max(common, found.get((d, k), 0.0))
+                    if found.get((d, k), 0.0) < share:
+                        found.pop((d, k), None)
+        for lo in range(0, len(doc_ids) if share is None else 0, 500):
             s, e = int(first[lo]), int(first[min(lo + 500, len(doc_ids))])
             part, part_row = values[s:e], row[s:e]
             for (width, _), (unit, item, start) in groups_.items():
                 starts, x = _windows(part, part_row, vectors_, width, vocabulary_)  # windows equal to an item's hold none but words of items
-                i, j = _candidates(starts, x, unit, cosine, signs=share is None)
+                i, j = _candidates(starts, x, unit, cosine)
                 for p, k, q in zip(starts[i].tolist(), item[j].tolist(), start[j].tolist(), strict=True):
                     d = int(part_row[p])
                     doc, at, text = values[first[d] : first[d + 1]], int(s + p - first[d]), texts_[k]
-                    if share is None:
-                        if (d, k) not in found and doc[at] == text[q] and _run_around(doc, text, at, q) >= min(run, len(text)):
-                            found[d, k] = 1.0
-                    else:
-                        a = max(0, at - q - len(text) // 4)
-                        stretch = doc[a : a + len(text) + len(text) // 2 + width].tolist()
-                        common = common_subsequence(text.tolist(), stretch) / len(text)
-                        if common >= share and answers_[k] <= set(stretch) and common > found.get((d, k), 0.0):
-                            found[d, k] = common
+                    if (d, k) not in found and doc[at] == text[q] and _run_around(doc, text, at, q) >= min(run, len(text)):
+                        found[d, k] = 1.0
         out = {"doc_id": [doc_ids[d] for d, _ in found], "item_id": [ids_[k] for _, k in found]}
         return out | ({"common": list(found.values())} if share is not None else {})
 
@@ -353,8 +374,8 @@ def _search(documents: DataFrame, items: DataFrame, run: int, cosine: float, sha
     return result.distinct() if share is None else result.groupBy("doc_id", "item_id").agg(F.max("common").alias("common"))
 
 
-def _answers(words: np.ndarray, vectors: np.ndarray, most: int = 3) -> set[int]:
-    """The item's words of greatest weight: its rarest, numbers among them."""
-    weight = np.linalg.norm(vectors[_buckets(words)], axis=1)
-    order = sorted(range(len(words)), key=lambda i: (weight[i], i))
-    return {int(words[i]) for i in order[:most]} if len(words) >= 2 * most else set()
+def _answers(words: np.ndarray, idf: np.ndarray, most: int = 3) -> set[int]:
+    """The item's rarest words in the corpus, numbers among them."""
+    weight = idf[_buckets(words)]
+    order = sorted(range(len(words)), key=lambda i: (-weight[i], i))
+    return {int(words[i]) for i in order[: most if len(words) >= 2 * most else 1]}

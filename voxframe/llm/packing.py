@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions.arrow import map_batches, map_group
-from voxframe.operators.storage import materialise, spread
+from voxframe.operators.storage import fill_cores, materialise, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MAX_RANKS_BYTES = 64_000_000
@@ -64,7 +64,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         return {"doc_id": b.column("doc_id"), "n_tokens": [len(encode(t)) for t in b.column("text").to_pylist()]}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text <> ''")
-    counts = map_batches(rows, run, "doc_id long, n_tokens long").where("n_tokens > 0")
+    counts = map_batches(fill_cores(rows), run, "doc_id long, n_tokens long").where("n_tokens > 0")
     return counts.groupBy("doc_id").agg(F.min("n_tokens").alias("n_tokens"))
 
 

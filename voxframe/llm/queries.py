@@ -44,12 +44,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.paraphrases(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_unused": p6_unused, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_turns": p1_turns, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_unused": p6_unused, "p7_found": p7_found, "p7_paraphrases": p7_paraphrases, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.arrow import map_batches
 from voxframe.llm.textform import _FOLD, canonical
+from voxframe.operators.storage import fill_cores
 
 #: Most documents of the training sample, and most weights that are broadcast.
 SAMPLE, MAX_WEIGHTS = 1500, 200_000
@@ -376,4 +377,4 @@ def sentence_units(documents: DataFrame, weights: dict[str, float] | None = None
         return {"doc_id": ids, "start_pos": starts, "end_pos": ends}
 
     rows = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, run, "doc_id long, start_pos int, end_pos int")
+    return map_batches(fill_cores(rows), run, "doc_id long, start_pos int, end_pos int")
