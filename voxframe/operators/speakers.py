@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators import sequence
+
 BIN_S = 60
 
 
@@ -32,21 +34,21 @@ def renumber(labelled: DataFrame) -> DataFrame:
     return labelled.join(names, ["rec_id", "engine", "label"], "left")
 
 
-def backfill(labelled: DataFrame) -> DataFrame:
+def _sharded(df: DataFrame, shard: int) -> DataFrame:
+    return df.withColumn("_shard", F.floor(F.coalesce("seg_idx", F.lit(0)) / shard))
+
+
+def backfill(labelled: DataFrame, shard: int = 1000) -> DataFrame:
     """Null speakers from the nearest segment before that has one, else the nearest after."""
-    w = Window.partitionBy("rec_id", "engine").orderBy("seg_idx", "seg_id")
-    before = F.last("speaker", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("speaker", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return labelled.withColumn("speaker", F.coalesce(before, after))
+    return sequence.filled(_sharded(labelled, shard), ["rec_id", "engine"], "_shard", ["seg_idx", "seg_id"], "speaker").drop("_shard")
 
 
-def islands(labelled: DataFrame) -> DataFrame:
+def islands(labelled: DataFrame, shard: int = 1000) -> DataFrame:
     """Spans of consecutive segments of one label: ``rec_id, engine, label, start_sec, end_sec``."""
-    w = Window.partitionBy("rec_id", "engine").orderBy("seg_idx", "seg_id")
-    rows = labelled.where("label is not null").withColumn("new", F.when(F.lag("label").over(w) == F.col("label"), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = ["rec_id", "engine"]
+    rows = sequence.runs(_sharded(labelled.where("label is not null"), shard), keys, "_shard", ["seg_idx", "seg_id"], "label")
     first = F.min_by("start_sec", F.struct("seg_idx", "seg_id"))
-    return rows.groupBy("rec_id", "engine", "run", "label").agg(first.alias("start_sec"), F.max("end_sec").alias("end_sec")).drop("run")
+    return rows.groupBy(*keys, "run_shard", "run", "label").agg(first.alias("start_sec"), F.max("end_sec").alias("end_sec")).drop("run_shard", "run")
 
 
 def speaker_counts(labelled: DataFrame) -> DataFrame:
