@@ -25,6 +25,7 @@ CASES = [
     ("他问：“好？走？”我们去了。“来。”他说。", ["他问：“好？走？”", "我们去了。", "“来。”他说。"]),
     ("आज देखा। डॉ. वेलमा ने कहा।", ["आज देखा।", "डॉ. वेलमा ने कहा।"]),
     ("ทีมงานส่ง รายงาน GPU 28 ครับ", ["ทีมงานส่ง", "รายงาน GPU 28 ครับ"]),
+    ("ทีมงานส่ง​ รายงาน", ["ทีมงานส่ง​", "รายงาน"]),
     ("no marks here\nat all", ["no marks here", "at all"]),
     ("Раз.​ Два． Три", ["Раз.​", "Два．", "Три"]),
     ("  \n\t\n", []), ("", []), ("...", ["..."]), ("\"Unclosed. Next", ["\"Unclosed.", "Next"]), ("A\r\nB C", ["A", "B", "C"]),

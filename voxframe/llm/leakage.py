@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ BUCKETS, PASSAGE, DIMENSIONS, EXTRA = 1 << 14, 16, 32, 16
 WINDOW, MAX_ITEM_WORDS, BLOCK = 8, 20_000_000, 8192
 #: Coordinates whose signs a verbatim search goes by.
 SIGNS = 24
-_CHUNKS = 64
+_CHUNKS, FAN = 64, 64
 # Words in text without characters that need folding; these hide none of a word's letters.
 _WORD = re.compile(r"[^\W_]+")
 _UNUSUAL = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿА-Яа-яЁё«»“”„–—…]")
@@ -140,16 +141,23 @@ def _partials(docs: DataFrame, each, width: int) -> np.ndarray:
                 total += each(*_flat(b))
         if total.any():
             parts = total.astype(np.float32).reshape(_CHUNKS, rows * width)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "part": pa.array([p.tobytes() for p in parts], pa.binary())})
+            own = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "branch": pa.array([own] * _CHUNKS, pa.int64()), "part": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def add(group: dict) -> dict:
-        total = np.sum([np.frombuffer(p, dtype=np.float32) for p in group["part"]], axis=0, dtype=np.float64)
-        return {"chunk": group["chunk"][:1], "part": [total.astype(np.float64).tobytes()]}
-
-    sums = map_group(docs.mapInArrow(run, "chunk int, part binary"), ["chunk"], add, "chunk int, part binary")
+        total = np.zeros(rows * width, dtype=np.float64)
+        for p in group["part"]:
+            total += np.frombuffer(p, dtype=np.float32)
+        return {"chunk": group["chunk"][:1], "branch": group["branch"][:1], "part": [total.astype(np.float32).tobytes()]}
+
+    kind = "chunk int, branch long, part binary"
+    sums, branches = docs.mapInArrow(run, kind), docs.rdd.getNumPartitions()
+    while branches > 1:  # a tree, so that no task adds more than FAN parts
+        sums = map_group(sums.withColumn("branch", F.floor(F.col("branch") / FAN)), ["chunk", "branch"], add, kind)
+        branches = -(-branches // FAN)
     out = np.zeros((_CHUNKS, rows * width))
     for r in sums.collect():  # BUCKETS x width numbers, whatever the corpus
-        out[r["chunk"]] = np.frombuffer(bytes(r["part"]), dtype=np.float64)
+        out[r["chunk"]] = np.frombuffer(bytes(r["part"]), dtype=np.float32)
     return out.reshape(BUCKETS, width)
 
 

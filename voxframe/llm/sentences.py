@@ -195,7 +195,12 @@ def candidates(line: str) -> list[tuple[int, tuple[str, ...]]]:
             out.append((k - 1, (mark, kind, follows + ("" if blank else "+"), quotes)))
     if _UNSPACED.search(line):
         for b in _BLANK_RUN.finditer(line):
-            if _UNSPACED.match(line[b.start() - 1]) and _UNSPACED.match(line[b.end()]):
+            left, right = b.start() - 1, b.end()
+            while left > 0 and flat[left] == _UNSEEN:
+                left -= 1
+            while right < n - 1 and flat[right] == _UNSEEN:
+                right += 1
+            if _UNSPACED.match(line[left]) and _UNSPACED.match(line[right]):
                 inside = depth[bisect.bisect_right(at, b.start() - 1) - 1] > 0
                 out.append((b.start() - 1, ("blank", "-", "unspaced", "inside" if inside else "out")))
         out = sorted(dict(out).items())
