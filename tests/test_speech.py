@@ -262,3 +262,8 @@ def test_publish_is_all_or_nothing(tmp_path):
     assert [p.read_text() for p in final] == [f"old{i}" for i in range(8)]
     sinks.publish(staged)
     assert [p.read_text() for p in final] == [f"new{i}" for i in range(8)] and len(list(tmp_path.iterdir())) == 8
+
+
+def test_join_words(spark):
+    df = spark.createDataFrame([(1, ["Стоит", " 0", "10", "2", "33", ",", "4", "(", "да", ")", "", "."]), (2, []), (3, ["  "])], "i int, w array<string>")
+    assert {r.i: r.t for r in df.select("i", X.join_words(F.col("w")).alias("t")).collect()} == {1: "Стоит 0 10 2 33, 4 (да).", 2: None, 3: None}

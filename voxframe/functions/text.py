@@ -61,7 +61,7 @@ def pieces(x: Column) -> Column:
 
 def join_words(words: Column) -> Column:
     """Words joined by blanks, none before closing and after opening punctuation; null for none."""
-    text = F.array_join(F.filter(F.transform(words, F.trim), lambda w: w != ""), " ")
+    text = F.array_join(F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != ""), " ")
     text = F.regexp_replace(text, r"\s+([,.;:!?%)\]»])", "$1")
     return F.nullif(F.trim(F.regexp_replace(text, r"([(\[«])\s+", "$1")), F.lit(""))
 

@@ -61,6 +61,8 @@ select rec_id, engine, win, count(*) as n, cast(sum(word_id) as bigint) as ids f
     "word_shapes": f"""with t as (select distinct text, regexp_extract(text, '^({_EDGE})', 1) as left_edge, {_core("text")} as core from words where text is not null)
 select text, left_edge, core, substring(text, length(left_edge) + length(core) + 1) as right_edge, regexp_replace({_LOW.format("core")}, '[аеиоуыэюяaeiouy]|[^\\p{{L}}\\p{{N}}]', '', 'g') as skeleton, {_LOW.format("core")} as low,
   len(list_filter(regexp_split_to_array(core, '[-–—]'), lambda p: regexp_matches(p, '[а-яёА-ЯЁ]') and regexp_matches(p, '[A-Za-z]'))) > 0 as mixed from t""",
+    "segment_words_joined": f"""with {_W}, k as (select seg_id, string_agg(trim(text, ' '), ' ' order by word_idx, word_id) filter (trim(text, ' ') <> '') as t from w where text is not null group by seg_id)
+select seg_id, nullif(trim(regexp_replace(regexp_replace(coalesce(t, ''), '\\s+([,.;:!?%)\\]»])', '\\1', 'g'), '([(\\[«])\\s+', '\\1', 'g'), ' '), '') as joined from k""",
     "word_total": f"with {_S} select rec_id, engine, cast(sum(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+'))) as bigint) as words, bool_or(conf is not null) as has_confidence from s group by rec_id, engine",
     "clock_formats": f"""with {_S}, k as (select seg_id, cast(floor(start_sec) as bigint) as a, cast(ceil(end_sec) as bigint) as b, cast(round_even(start_sec, 0) as bigint) as c, cast(round_even(end_sec * 1000, 0) as bigint) as m from s where start_sec is not null and end_sec is not null)
 select seg_id, {_HMS.format("a")} as t_from, {_HMS.format("b")} as t_to, {_HMS.format("c")} as t_round, {_SRT.format("m")} as t_srt from k""",
@@ -110,6 +112,16 @@ with o as (select * from (values ('whisper-cpp', 0.16, 5.0), ('faster-whisper',
   x as (select rec_id, backend, cast(load as double) + duration_sec * cast(rtf as double) + 25.0 + duration_sec * cast(0.12 as double) as e from recordings, o where duration_sec is not null)
 select rec_id, backend, round_even(e, 1) as estimate_seconds, case when e < 60 then '~' || cast(cast(floor(e) as bigint) as varchar) || ' сек' when e / 60 < 10 then '~' || printf('%.1f', e / 60) || ' мин' else '~' || cast(cast(round_even(e / 60, 0) as bigint) as varchar) || ' мин' end as estimate from x""",
     "embeddable_segments": f"with {_S} select seg_id from s where end_sec - start_sec >= 0.6 and floor(end_sec * 16000) - floor(start_sec * 16000) >= 6400",
+    "release_notes": """
+with l as (select doc_id as release_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r')) as line, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r'), 1) as pos from documents),
+  f as (select *, regexp_matches(trim(line, ' '), '^[-*+]\\s+\\S') as bullet from l),
+  g as (select *, not bullet and trim(line, ' ') <> '' and regexp_matches(line, '^\\s') as goes_on from f),
+  p as (select *, sum(case when goes_on then 0 else 1 end) over (partition by release_id order by pos rows unbounded preceding) as part from g),
+  b as (select release_id, part, string_agg(trim(line, ' '), ' ' order by pos) as raw from p group by release_id, part having bool_or(bullet)),
+  n as (select release_id, part, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(raw, ' '), '^[-*+]\\s+', ''), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '`|\\*\\*', '', 'g'), '\\s+', ' ', 'g'), ' ') as note from b),
+  c as (select release_id, part, case when length(note) > 120 then rtrim(substring(note, 1, 119), ' ') || '…' else note end as note from n where note <> ''),
+  r as (select *, row_number() over (partition by release_id order by part) as k from c)
+select release_id, string_agg(note, '|' order by part) as notes from r where k <= 5 group by release_id""",
     "version_newer": """
 with t as (select doc_id, regexp_extract(text, 'version (\\d+(?:\\.\\d+)*) vs\\. version \\d', 1) as a, regexp_extract(text, 'vs\\. version (\\d+(?:\\.\\d+)*)', 1) as b from documents),
   v as (select doc_id, a, b, list_transform(str_split(a, '.'), lambda x: cast(x as bigint)) as va, list_transform(str_split(b, '.'), lambda x: cast(x as bigint)) as vb from t where a <> '' and b <> '')
