@@ -102,3 +102,48 @@ def test_paraphrases(spark):
     docs = [(1, " ".join(VOCABULARY[:50] + changed + VOCABULARY[60:90])), (2, " ".join(r.choices(VOCABULARY, k=200))), (3, " ".join(item))]
     got = {x.doc_id for x in leakage.paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {1, 3}
+
+
+def test_paraphrases_without_a_rare_word(spark):
+    r = random.Random(5)
+    item = [f"имя{i}" if i % 4 == 0 else f"слово{r.randrange(50)}" for i in range(40)]
+    changed = [w for i, w in enumerate(item) if i % 9 != 5]  # имя32 is among those left out
+    foreign = ["nowhere", *item[1:]]  # a word that no document has
+    docs = [(1, " ".join(VOCABULARY[:50] + changed + VOCABULARY[60:90])), (2, " ".join(r.choices(VOCABULARY, k=200))), (3, " ".join(item))]
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(foreign))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in leakage.paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 7), (1, 8), (3, 7), (3, 8)}
+
+
+def test_documents_passed_by_hold_no_paraphrase():
+    r = random.Random(3)
+    texts = [np.array(r.choices(range(30), k=r.choice([1, 3, 8, 20])), dtype=np.int32) for _ in range(12)]
+    docs = [np.array(r.choices(range(40), k=r.choice([1, 5, 30])), dtype=np.int32) for _ in range(600)]
+    got = list(leakage._Held(texts, 0.6).pairs(np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])))
+    want = {(d, k) for d, doc in enumerate(docs) for k, t in enumerate(texts) if leakage.common_subsequence(t.tolist(), doc.tolist()) / len(t) >= 0.6}
+    assert want and want <= set(got) and len(got) == len(set(got))
+
+
+def test_answers(spark):
+    docs = leakage.hashed(spark.createDataFrame([(1, "a b c d e f 12"), (2, "a b c d e f"), (3, "a b c")], "doc_id long, text string"), "doc_id", "text")
+    items = spark.createDataFrame([(1, "a b c d 12 77 gone")], "item_id long, text string")
+    (own,) = leakage._answers(docs, items, [np.array(leakage.word_hashes("a b c d 12 77 gone"), dtype=np.int32)])
+    assert own == set(leakage.word_hashes("12 d a")) and [leakage._enough(n) for n in range(7)] == [0, 0, 1, 2, 3, 4, 4]
+
+
+def test_paraphrases_against_all_pairs(spark):
+    docs, items = sample()
+    df, it = (spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
+    want, told = {}, [(i, leakage.word_hashes(t)) for i, t in items if t and leakage.word_hashes(t)]
+    answers = leakage._answers(leakage.hashed(df, "doc_id", "text"), it, [np.array(t, dtype=np.int32) for _, t in told])
+    for d, text in docs:
+        doc = leakage.word_hashes(text)
+        for (i, t), own in zip(told if d is not None else [], answers, strict=False):
+            for a in range(max(1, len(doc) - 2 * len(t) + 1)):
+                part = doc[a : a + 2 * len(t)]
+                if len(set(part) & set(t)) and (c := leakage.common_subsequence(t, part) / len(t)) >= 0.6 and len(own & set(part)) >= leakage._enough(len(own)):
+                    want[d, i] = max(c, want.get((d, i), 0.0))
+    # Without a bound of cosine, every stretch holds a candidate.
+    assert {(r.doc_id, r.item_id): r.common for r in leakage.paraphrases(df, it, cosine=-2.0).collect()} == want
+    got = {(r.doc_id, r.item_id) for r in leakage.paraphrases(df, it).collect()}
+    assert got <= set(want)

@@ -14,9 +14,11 @@ Latent semantic retrieval, then exact checks:
    any run that counts holds one whole; a document window equal to it has the
    same vector, so the search misses no verbatim leak at any threshold below 1.
 4. For verbatim leaks, the run of equal words around a candidate is measured.
-   For paraphrases, the longest common subsequence of the item and the stretch
-   around the candidate must be long, and the item's answers (its numbers and
-   rarest words) must be there.
+   For paraphrases, the longest common subsequence of the item and a stretch that
+   holds the candidate, of twice the item's length, must be long, and most of the
+   item's answers (those of its numbers and rarest words that the corpus has) must
+   be there. Documents and stretches without that many of the item's words can't
+   have so long a subsequence, so step 3 passes them by, which loses nothing.
 
 Null and empty texts have no words and leak nothing; items without words match
 nothing. Equal rows give a pair once. Items are read to the driver after a check
@@ -27,7 +29,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,10 @@ BUCKETS, PASSAGE, DIMENSIONS, EXTRA = 1 << 14, 16, 32, 16
 WINDOW, MAX_ITEM_WORDS, BLOCK = 8, 20_000_000, 8192
 #: Coordinates whose signs a verbatim search goes by.
 SIGNS = 24
+#: Rarest words that are answers of an item, and the share of its answers that must be there.
+RAREST, ANSWERS = 3, 2 / 3
 _CHUNKS, FAN = 64, 64
+_PAIR = "doc_id long, item_id long"
 # Words in text without characters that need folding; these hide none of a word's letters.
 _WORD = re.compile(r"[^\W_]+")
 _UNUSUAL = re.compile(r"[^\x00-\x7FÀ-ÖØ-öø-ÿА-Яа-яЁё«»“”„–—…]")
@@ -259,14 +263,24 @@ def _run_around(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> int:
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence (bit-parallel)."""
+    return _in_common(_places(a), len(a), b)
+
+
+def _places(a: list[int]) -> dict[int, int]:
+    """The places of each word, as bits."""
     at: dict[int, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _in_common(at: dict[int, int], n: int, b: list[int]) -> int:
+    full = (1 << n) - 1
     v = full
     for y in b:
-        u = v & at.get(y, 0)
-        v = ((v + u) | (v - u)) & full
+        if y in at:
+            u = v & at[y]
+            v = ((v + u) | (v - u)) & full
     return bin(full & ~v).count("1")
 
 
@@ -290,81 +304,112 @@ def _candidates(starts: np.ndarray, x: np.ndarray, unit: np.ndarray, cosine: flo
     return i[near], j[near]
 
 
-def _stretches(doc: np.ndarray, text: np.ndarray, k: int, groups: dict, vectors: np.ndarray, cosine: float) -> Iterator[float]:
-    """Share of item ``k`` in common, in order, with each stretch of ``doc`` around a window near one of the item's."""
-    n, seen = len(text), set()
-    for (width, _), (unit, item, start) in groups.items():
-        own = np.flatnonzero(item == k)
-        if not len(own):
-            continue
-        starts, x = _windows(doc, np.zeros(len(doc), dtype=np.int64), vectors, width)
-        for a in range(0, len(starts), 4096):
-            i, j = np.nonzero(x[a : a + 4096] @ unit[own].T >= cosine)
-            # Places that imply about the same begin of the item are one stretch.
-            seen |= set(((starts[a + i] - start[own[j]]) // max(1, n // 4)).tolist())
-    for place in sorted(seen):
-        begin = max(0, place * max(1, n // 4) - n // 4)
-        yield common_subsequence(text.tolist(), doc[begin : begin + n + n // 2 + n // 2].tolist()) / n
-
+def _document_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Documents that each of the sorted ``words`` stands in."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = 12, cosine: float = 0.98) -> DataFrame:
-    """``doc_id, item_id``: the document holds ``run`` consecutive words of the item, or all of a shorter one."""
-    return _search(documents, items, run, cosine, None)
+    def run(b: pa.RecordBatch) -> dict:
+        values, row = _flat(b)
+        at = np.minimum(np.searchsorted(shared.value, values), len(shared.value) - 1)
+        own = shared.value[at] == values
+        n = np.bincount(np.unique(row[own] * len(shared.value) + at[own]) % len(shared.value), minlength=len(shared.value))
+        seen = np.flatnonzero(n)
+        return {"word": pa.array(seen), "n": pa.array(n[seen])}
+
+    out = np.zeros(len(words), dtype=np.int64)
+    for r in map_batches(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
+    return out
 
 
-def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.8, share: float = 0.6) -> DataFrame:
-    """``doc_id, item_id, common``: stretches that share at least ``share`` of an item's words in order, and its answers."""
-    return _search(documents, items, WINDOW, cosine, share)
+class _Held:
+    """Finds the items of whose words a document holds at least ``share``, wherever they stand in it."""
+
+    def __init__(self, texts: list[np.ndarray], share: float):
+        item = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        self.words, at = np.unique(np.concatenate(texts), return_inverse=True)
+        pairs, self.count = np.unique(at * len(texts) + item, return_counts=True)
+        self.item = pairs % len(texts)
+        self.first = np.searchsorted(pairs // len(texts), np.arange(len(self.words) + 1))
+        self.size, self.share = np.array([len(t) for t in texts]), share
+
+    def at(self, values: np.ndarray) -> np.ndarray:
+        """Place of each word among the items' words, or their number."""
+        at = np.minimum(np.searchsorted(self.words, values), len(self.words) - 1)
+        return np.where(self.words[at] == values, at, len(self.words))
+
+    def pairs(self, values: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int]]:
+        """``(row, item)`` for documents end to end."""
+        n = int(row[-1]) + 1 if len(row) else 0
+        step = max(1, min(256, 4_000_000 // len(self.size)))
+        for lo in range(0, n, step):
+            s, e = np.searchsorted(row, [lo, lo + step])
+            at = self.at(values[s:e])
+            own = at < len(self.words)
+            met, there = np.unique((row[s:e][own] - lo) * len(self.words) + at[own], return_counts=True)
+            word, doc = met % len(self.words), met // len(self.words)
+            many = self.first[word + 1] - self.first[word]
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - self.first[word], many)
+            both = np.minimum(np.repeat(there, many), self.count[place])
+            shared = np.bincount(np.repeat(doc, many) * len(self.size) + self.item[place], weights=both, minlength=step * len(self.size)).reshape(step, -1)
+            for d, k in np.argwhere((shared > 0) & (shared / self.size >= self.share)).tolist():
+                yield lo + d, k
+
+
+def _hopeful(own: np.ndarray, n: int, share: float) -> np.ndarray:
+    """Begins of the stretches, twice as long as the item of ``n`` words, that hold so many of its; ``own``: how many come before each place."""
+    length = min(2 * n, len(own) - 1)
+    return np.flatnonzero((own[length:] - own[: len(own) - length]) / n >= share)
+
+
+def _around(begins: np.ndarray, starts: np.ndarray, near: np.ndarray, width: int, length: int, words: int) -> np.ndarray:
+    """Those ``begins`` of stretches of ``length`` words that hold a whole window which is near one of the item's."""
+    windows = np.zeros(words + 1, dtype=np.int64)
+    windows[starts[near] + 1] = 1
+    windows = np.cumsum(windows)
+    return begins[windows[begins + length - width + 1] > windows[begins]]
+
+
+def _most(doc: list[int], begins: np.ndarray, own: np.ndarray, at: dict[int, int], n: int, share: float, answers: set[int]) -> float:
+    """Greatest share of the item in common with a stretch at one of ``begins`` that holds enough answers; 0 where none reaches ``share``."""
+    length, need, best, b = min(2 * n, len(doc)), next(c for c in range(n + 2) if c / n >= share), 0, 0
+    while b < len(begins) and need <= n:
+        begin = int(begins[b])
+        stretch = doc[begin : begin + length]
+        common = _in_common(at, n, stretch)
+        if common < need:
+            # A word that enters adds one at most, so the next to reach it has as many of the item's words more.
+            b = int(np.searchsorted(begins, np.searchsorted(own, own[begin + length] + need - common) - length))
+            continue
+        if len(answers.intersection(stretch)) >= _enough(len(answers)):
+            best, need = common, common + 1
+        b += 1
+    return best / n
 
 
-def _search(documents: DataFrame, items: DataFrame, run: int, cosine: float, share: float | None) -> DataFrame:
-    schema = "doc_id long, item_id long" + (", common double" if share is not None else "")
+def leaks(documents: DataFrame, items: DataFrame, run: int = 12, cosine: float = 0.98) -> DataFrame:
+    """``doc_id, item_id``: the document holds ``run`` consecutive words of the item, or all of a shorter one."""
     spark = documents.sparkSession
-    docs = materialise(hashed(documents, "doc_id", "text"), "leak_words")
-    held = hashed(items, "item_id", "text")
-    words = held.agg(F.sum(F.size("words"))).first()[0] or 0
-    if words > MAX_ITEM_WORDS:
-        raise ValueError(f"{words} words of items are beyond what is searched in one call")
-    rows = sorted({(r["item_id"], tuple(r["words"])) for r in held.collect()})
+    docs, rows = _read(documents, items)
     if not rows:
-        return spark.createDataFrame([], schema)
-    idf, vectors = fit(docs)
+        return spark.createDataFrame([], _PAIR)
+    _, vectors = fit(docs)
     ids, texts = [r[0] for r in rows], [np.array(r[1], dtype=np.int32) for r in rows]
-    answers = [_answers(t, idf) for t in texts] if share is not None else None
-    vocabulary = None
-    if share is None:
-        vocabulary = np.zeros(BUCKETS, dtype=np.int64)
-        vocabulary[_buckets(np.concatenate(texts))] = 1
+    vocabulary = np.zeros(BUCKETS, dtype=np.int64)
+    vocabulary[_buckets(np.concatenate(texts))] = 1
     groups = {}
-    for width, places in item_windows([list(t) for t in texts], run).items():
-        flat = np.concatenate([texts[k][s : s + width] for k, s in places])
-        starts, unit = _windows(flat, np.repeat(np.arange(len(places)), width), vectors, width)
-        item, start = np.array([k for k, _ in places]), np.array([s for _, s in places])
-        for a in range(0, len(places), BLOCK):
+    for width, (item, start, unit) in _item_vectors(texts, run, vectors).items():
+        for a in range(0, len(item), BLOCK):
             groups[width, a] = (unit[a : a + BLOCK], item[a : a + BLOCK], start[a : a + BLOCK])
-    shared = spark.sparkContext.broadcast((vectors, groups, ids, texts, answers, vocabulary))
+    shared = spark.sparkContext.broadcast((vectors, groups, ids, texts, vocabulary))
 
     def look(b: pa.RecordBatch) -> dict:
-        vectors_, groups_, ids_, texts_, answers_, vocabulary_ = shared.value
+        vectors_, groups_, ids_, texts_, vocabulary_ = shared.value
         values, row = _flat(b)
         doc_ids = b.column("doc_id").to_pylist()
         first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
-        found: dict[tuple[int, int], float] = {}
-        if share is not None:
-            needed: dict[int, list[int]] = {}
-            for k, own in enumerate(answers_):
-                for h in own:
-                    needed.setdefault(h, []).append(k)
-            for d in range(len(doc_ids)):
-                doc = values[first[d] : first[d + 1]]
-                there = set(doc.tolist())
-                met = Counter(k for h in there & needed.keys() for k in needed[h])
-                for k in (k for k, n in met.items() if n == len(answers_[k])):  # the answers must be there, so no other item can be
-                    for common in _stretches(doc, texts_[k], k, groups_, vectors_, cosine):
-                        found[d, k] = max(common, found.get((d, k), 0.0))
-                    if found.get((d, k), 0.0) < share:
-                        found.pop((d, k), None)
-        for lo in range(0, len(doc_ids) if share is None else 0, 500):
+        found: set[tuple[int, int]] = set()
+        for lo in range(0, len(doc_ids), 500):
             s, e = int(first[lo]), int(first[min(lo + 500, len(doc_ids))])
             part, part_row = values[s:e], row[s:e]
             for (width, _), (unit, item, start) in groups_.items():
@@ -374,16 +419,102 @@ def _search(documents: DataFrame, items: DataFrame, run: int, cosine: float, sha
                     d = int(part_row[p])
                     doc, at, text = values[first[d] : first[d + 1]], int(s + p - first[d]), texts_[k]
                     if (d, k) not in found and doc[at] == text[q] and _run_around(doc, text, at, q) >= min(run, len(text)):
-                        found[d, k] = 1.0
-        out = {"doc_id": [doc_ids[d] for d, _ in found], "item_id": [ids_[k] for _, k in found]}
-        return out | ({"common": list(found.values())} if share is not None else {})
+                        found.add((d, k))
+        return {"doc_id": [doc_ids[d] for d, _ in found], "item_id": [ids_[k] for _, k in found]}
 
-    result = map_batches(docs, look, schema)
-    return result.distinct() if share is None else result.groupBy("doc_id", "item_id").agg(F.max("common").alias("common"))
+    return map_batches(docs, look, _PAIR).distinct()
 
 
-def _answers(words: np.ndarray, idf: np.ndarray, most: int = 3) -> set[int]:
-    """The item's rarest words in the corpus, numbers among them."""
-    weight = idf[_buckets(words)]
-    order = sorted(range(len(words)), key=lambda i: (-weight[i], i))
-    return {int(words[i]) for i in order[: most if len(words) >= 2 * most else 1]}
+def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.8, share: float = 0.6) -> DataFrame:
+    """``doc_id, item_id, common``: stretches that share at least ``share`` of an item's words in order, and most of its answers."""
+    spark = documents.sparkSession
+    docs, rows = _read(documents, items)
+    if not rows:
+        return spark.createDataFrame([], f"{_PAIR}, common double")
+    _, vectors = fit(docs)
+    ids, texts = [r[0] for r in rows], [np.array(r[1], dtype=np.int32) for r in rows]
+    answers = _answers(docs, items, texts)
+    windows: list[tuple[int, np.ndarray]] = [(0, np.zeros(0))] * len(texts)
+    for width, (item, _, unit) in _item_vectors(texts, WINDOW, vectors).items():
+        edge = np.searchsorted(item, np.arange(len(texts) + 1))
+        for k in np.unique(item).tolist():
+            windows[k] = (width, unit[edge[k] : edge[k + 1]])
+    shared = spark.sparkContext.broadcast((vectors, windows, ids, texts, answers))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors_, windows_, ids_, texts_, answers_ = shared.value
+        held, places = _Held(texts_, share), [_places(t.tolist()) for t in texts_]
+        item_at = [np.searchsorted(held.words, t) for t in texts_]
+        of_item = np.zeros(len(held.words) + 1, dtype=bool)
+        for b in batches:
+            values, row = _flat(b)
+            doc_ids = b.column("doc_id").to_pylist()
+            first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
+            found: dict[tuple[int, int], float] = {}
+            word_at = held.at(values)
+            last, doc, mine = -1, [], {}
+            for d, k in held.pairs(values, row):
+                n, here = len(texts_[k]), slice(first[d], first[d + 1])
+                of_item[item_at[k]] = True
+                hit = of_item[word_at[here]]
+                of_item[item_at[k]] = False
+                own = np.zeros(len(hit) + 1, dtype=np.int64)
+                np.cumsum(hit, out=own[1:])
+                begins = _hopeful(own, n, share)
+                if not len(begins) or _in_common(places[k], n, values[here][hit].tolist()) / n < share:
+                    continue
+                if d != last:
+                    last, doc, mine = d, values[here].tolist(), {}
+                width, unit = windows_[k]
+                if width not in mine:
+                    mine[width] = _windows(values[here], np.zeros(len(doc), dtype=np.int64), vectors_, width)
+                starts, x = mine[width]
+                near = np.concatenate([(x[a : a + 4096] @ unit.T >= cosine).any(axis=1) for a in range(0, len(starts), 4096)] or [np.zeros(0, dtype=bool)])
+                begins = _around(begins, starts, near, width, min(2 * n, len(doc)), len(doc))
+                if common := _most(doc, begins, own, places[k], n, share, answers_[k]):
+                    found[d, k] = common
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_ids[d] for d, _ in found], pa.int64()), "item_id": pa.array([ids_[k] for _, k in found], pa.int64()), "common": pa.array(list(found.values()), pa.float64())})
+
+    return docs.mapInArrow(run, f"{_PAIR}, common double").groupBy("doc_id", "item_id").agg(F.max("common").alias("common"))
+
+
+def _read(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, list[tuple[int, tuple[int, ...]]]]:
+    """The documents' words in the shared folder, and the distinct items with words."""
+    docs = materialise(hashed(documents, "doc_id", "text"), "leak_words")
+    held = hashed(items, "item_id", "text")
+    words = held.agg(F.sum(F.size("words"))).first()[0] or 0
+    if words > MAX_ITEM_WORDS:
+        raise ValueError(f"{words} words of items are beyond what is searched in one call")
+    return docs, sorted({(r["item_id"], tuple(r["words"])) for r in held.collect()})
+
+
+def _item_vectors(texts: list[np.ndarray], run: int, vectors: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By width, item, start and unit latent vector of the windows of all items, in the order of the items."""
+    out = {}
+    for width, places in item_windows([list(t) for t in texts], run).items():
+        flat = np.concatenate([texts[k][s : s + width] for k, s in places])
+        _, unit = _windows(flat, np.repeat(np.arange(len(places)), width), vectors, width)
+        out[width] = (np.array([k for k, _ in places]), np.array([s for _, s in places]), unit)
+    return out
+
+
+def _enough(answers: int) -> int:
+    """Answers that must be there of so many: ``ANSWERS`` of them, of which one may always lack."""
+    return max(0, min(answers - 1, int(np.ceil(answers * ANSWERS - 1e-9))))
+
+
+def _answers(docs: DataFrame, items: DataFrame, texts: list[np.ndarray]) -> list[set[int]]:
+    """Of each item, the numbers and the ``RAREST`` rarest words among those that stand in some document."""
+
+    def digits(b: pa.RecordBatch) -> dict:
+        found = {h for t in b.column("text").to_pylist() for w, h in zip(words_of(t), word_hashes(t), strict=True) if any(c.isdigit() for c in w)}
+        return {"word": sorted(found)}
+
+    numbers = {r["word"] for r in map_batches(items.select("text").where("text is not null"), digits, "word int").distinct().collect()}
+    words = np.unique(np.concatenate(texts))
+    counts = dict(zip(words.tolist(), _document_counts(docs, words).tolist(), strict=True))
+    out = []
+    for text in texts:
+        there = [w for w in dict.fromkeys(text.tolist()) if counts[w]]
+        out.append({w for w in there if w in numbers} | set(sorted(there, key=counts.__getitem__)[:RAREST]))
+    return out
