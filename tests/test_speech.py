@@ -138,6 +138,33 @@ def test_clusters(spark):
     assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(got == k)) for k in set(got)}
 
 
+def test_clusters_without_distances():
+    rng = np.random.default_rng(4)
+    for n, d, spread in [(2, 3, 1.0), (3, 2, 1.0), (60, 8, 0.2), (90, 5, 1.0), (200, 16, 0.4)]:
+        x = np.eye(d)[rng.integers(0, min(d, 4), n)] + rng.normal(0, spread, (n, d))
+        if n > 50:
+            x[7], x[20:24] = 0.0, x[3]  # one without direction, some alike
+        unit, full = clustering.units(x), clustering.distances(x)
+        ks = set(range(1, min(n, 9) + 1))
+        by_sums, plain = clustering.average_linkage_of_sums(unit, ks), clustering.average_linkage(full, ks)
+        for k in ks:
+            assert by_sums[k].tolist() == plain[k].tolist()
+            if k > 1:
+                assert clustering.silhouette_of_sums(unit, plain[k]) == pytest.approx(clustering.silhouette(full, plain[k]), abs=1e-9)
+        assert clustering.choose(x, held=0).tolist() == clustering.choose(x).tolist()
+        assert clustering.choose(x, k=2, held=0).tolist() == clustering.choose(x, k=2).tolist()
+    assert set(clustering.choose(np.ones((10, 4)), held=0)) == {0}
+
+
+def test_clusters_of_a_large_group(spark):
+    n = clustering.MAX_GROUP + 200
+    rng = np.random.default_rng(1)
+    x = np.eye(4)[np.arange(n) % 3] + rng.normal(0, 0.05, (n, 4))
+    rows = [(5, i, v.tolist()) for i, v in enumerate(x)] + [(6, n, [1.0, 0.0, 0.0, 0.0])]
+    got = clustering.clusters(spark.createDataFrame(rows, "label long, vec_id long, embedding array<double>"), "label", "vec_id", "embedding").collect()
+    assert {r.vec_id: r.cluster for r in got} == {i: i % 3 for i in range(n)} | {n: 0}
+
+
 def decide(spark, *decisions):
     raw = spark.createDataFrame([(1, i, json.dumps(x)) for i, x in enumerate(decisions)], "rec_id long, ord int, decision string")
     c = spark.createDataFrame([(1, "D001", 5.0, 6.0), (1, "D002", 1.0, 2.0)], "rec_id long, id string, start_seconds double, end_seconds double")
