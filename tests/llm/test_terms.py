@@ -54,3 +54,14 @@ def test_plan(spark, lexicon):
     assert got == {i: terms.best(lexicon, h)[0] if h else "" for i, h in enumerate(heard)}
     assert {r.canonical for r in terms.match_mentions(df, lex.where("false")).collect()} == {""}
     assert terms.match_mentions(df.where("false"), lex).count() == 0
+
+
+def test_entries_of_several_words_and_of_two_letters():
+    lexicon = terms.Lexicon({"canonical": c, "ru_exact": r} for c, r in [("blue teaming", ["блю тиминг"]), ("New York City", None), ("AI", ["ИИ"]), ("blue", None), ("red-teaming", None), ("Go", None)])
+    cases = {
+        "blue teaming": "blue teaming", "«блю тимингом»": "blue teaming", "blueteaming": "blue teaming", "blue teaming-report": "blue teaming", "in new york city today": "New York City",
+        "new-york city": "New York City", "blue": "blue", "a blue one": "blue", "red teaming": "red-teaming", "AI": "AI", "the ai.": "AI", "ИИ": "AI", "go": "Go", "ei": "", "ga": "", "goo": "", "to": "", "new city": "",
+    }
+    assert {h: terms.best(lexicon, h)[0] for h in cases} == cases
+    alone = terms.Lexicon([{"canonical": "blue teaming"}])
+    assert terms.best(alone, "the Blue  Teeming.")[0] == "blue teaming" and terms.best(alone, "blue")[0] == terms.best(alone, "teaming")[0] == ""

@@ -10,8 +10,10 @@ least cost is taken if that cost is small for the alias's length; else the
 mention stands for no term.
 
 Words around a term, quotes, case, blanks, hyphens inside and compound tails
-("term-report") are seen through. Russian words are tried without each possible
-case ending, as stems take endings.
+("term-report") are seen through. Neighbouring words are also tried joined, up to
+as many as the longest alias has. Russian words are tried without each possible
+case ending, as stems take endings. Words and aliases under 3 letters have no room
+for mistakes and match only their equals; aliases of one letter are left out.
 
 A null or empty mention stands for no term. Of equal costs the alias of greater
 length, then the canonical first in order, is taken. Repeated lexicon entries
@@ -96,6 +98,7 @@ class Lexicon:
 
     def __init__(self, terms: Iterable[dict]):
         self.root: dict = {}
+        self.words, self.least = 1, 3  # of aliases: most words of one, fewest letters of one (3 at most)
         self.known: dict[str, tuple[float, int, str]] = {}  # words looked up already
         for term in terms:
             name = term["canonical"]
@@ -111,9 +114,11 @@ class Lexicon:
                     self._add(stem, True, name)
 
     def _add(self, alias: str | None, stem: bool, name: str) -> None:
-        alias = _plain(alias)
+        runs = _runs(alias)
+        alias = _spell("".join(runs))
         if len(alias) < 2:
             return
+        self.words, self.least = max(self.words, len(runs)), min(self.least, sum(map(len, runs)))
         node = self.root
         for c in code(alias):
             node = node.setdefault(c, {})
@@ -136,12 +141,17 @@ class Lexicon:
                     todo.append((child, new))
 
 
-def _plain(text: str | None) -> str:
-    """One form, lower case, no hyphens and edges."""
+def _runs(text: str | None) -> list[str]:
+    """Runs of letters and digits in one form and lower case."""
     if not text:
-        return ""
+        return []
     ru = regex.search(r"[бвгджзийклмнптфцчшщъыьэюя]", text, regex.IGNORECASE)
-    return _spell(regex.sub(r"[^\p{L}\p{N}]", "", canonical(text, "ru" if ru else "en").lower()))
+    return regex.findall(r"[\p{L}\p{N}]+", canonical(text, "ru" if ru else "en").lower())
+
+
+def _plain(text: str | None) -> str:
+    """One form, lower case, no hyphens and edges."""
+    return _spell("".join(_runs(text)))
 
 
 def _spell(word: str) -> str:
@@ -154,17 +164,24 @@ def _without_endings(word: str) -> list[str]:
     return [word, *(word[: -len(e)] for e in ENDINGS if word.endswith(e) and len(word) - len(e) >= 3)] if _CYRILLIC.search(word) else [word]
 
 
-def readings(heard: str) -> list[str]:
-    """Words of a mention that may be the term: each word, joined at its hyphens, and its parts before a tail."""
+def readings(heard: str, most: int = 1, least: int = 3) -> list[str]:
+    """What of a mention may be the term, of ``least`` letters: each word, joined at its hyphens, its parts before and after
+    one, and up to ``most`` parts of neighbouring words, joined."""
     ru = regex.search(r"[бвгджзийклмнптфцчшщъыьэюя]", heard, regex.IGNORECASE)
     out: dict[str, None] = {}
-    for m in _WORD.finditer(canonical(heard, "ru" if ru else "en").lower()):
+    flat: list[tuple[str, int]] = []  # all parts and the word of each
+    for i, m in enumerate(_WORD.finditer(canonical(heard, "ru" if ru else "en").lower())):
         parts = regex.split(r"[-'’]", m[0])
+        flat += [(p, i) for p in parts]
         for k in range(len(parts), 0, -1):
             out.setdefault("".join(parts[:k]))
         for k in range(1, len(parts)):
             out.setdefault("".join(parts[k:]))
-    return [_spell(w) for w in out if len(w) >= 3]
+    for a in range(len(flat)):
+        for b in range(a + 2, min(a + most, len(flat)) + 1):
+            if flat[a][1] != flat[b - 1][1]:
+                out.setdefault("".join(p for p, _ in flat[a:b]))
+    return [_spell(w) for w in out if len(w) >= least]
 
 
 def nearest_alias(lexicon: Lexicon, word: str) -> tuple[float, int, str]:
@@ -174,7 +191,7 @@ def nearest_alias(lexicon: Lexicon, word: str) -> tuple[float, int, str]:
         whole = stem is word
         c = code(stem)
         for alias, is_stem, name in lexicon.within(c, reach(len(c))):
-            if (not whole and not is_stem) or (alias, stem, name) in seen or bool(_CYRILLIC.search(alias)) != cyrillic:
+            if (not whole and not is_stem) or (alias, stem, name) in seen or bool(_CYRILLIC.search(alias)) != cyrillic or (min(len(stem), len(alias)) < 3 and stem != alias):
                 continue
             seen.add((alias, stem, name))
             found = min(found, (round(cost(stem, alias) / len(alias), 9), -len(alias), name))
@@ -184,7 +201,7 @@ def nearest_alias(lexicon: Lexicon, word: str) -> tuple[float, int, str]:
 def best(lexicon: Lexicon, heard: str, most: float = MAX_COST) -> tuple[str, float]:
     """The canonical a mention stands for, or '', and the least cost a letter."""
     found = (9.0, 0, "")
-    for word in readings(heard):
+    for word in readings(heard, lexicon.words, lexicon.least):
         if word not in lexicon.known:
             if len(lexicon.known) >= 1 << 17:
                 lexicon.known.clear()
