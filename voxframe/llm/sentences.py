@@ -7,9 +7,9 @@ The others ("candidates") are described by what a reader goes by: the mark, the
 word before it (known abbreviation, initial, ordinal, number, mark that opens
 the line), the kind of character that follows, and the state of quotes and
 brackets. Weights come from averaged structured-perceptron training on a bounded
-sample of the documents themselves, labelled by the conventions of the scripts;
-for scripts that divide sentences with blanks alone, on lines of unspaced
-scripts from which the punctuation has been stripped.
+sample of the documents themselves, labelled by the conventions of the scripts.
+For scripts that divide sentences with blanks alone, those say that each blank
+outside quotes divides: a fixed rule, which the training only repeats.
 
 Null and empty texts have no units; white space belongs to none. Very long texts
 are decoded line by line. Equal texts give equal units under each id; an id that
@@ -282,7 +282,7 @@ def stripped(line: str) -> str | None:
 
 
 def training_lines(texts: list[str]) -> list[tuple[list[tuple[str, ...]], list[bool]]]:
-    """Candidates and labels of each line of the sample, and of the stripped ones, where each blank left by a stop divides."""
+    """Candidates and labels of each line of the sample, and of the stripped ones whose blanks were all left by stops, so all divide; others are left out."""
     out = []
     for text in texts:
         for line in _LINE.findall(text):
