@@ -31,12 +31,20 @@ def test_words():
     assert leakage._key("с") == leakage._key("C") and leakage.word_hashes(None) == [] and leakage.word_hashes("Да") == leakage.word_hashes("дa")
 
 
-def test_windows_hold_any_run():
-    for n in range(1, 60):
-        for width, places in leakage.item_windows([list(range(n))], 12).items():
-            starts = {s for _, s in places}
-            run = min(12, n)
-            assert all(any(a <= s and s + width <= a + run for s in starts) for a in range(n - run + 1))
+def test_each_run_holds_a_window_on_the_grid():
+    for n in range(1, 40):
+        width, step = leakage.shape(n, 12)
+        run = min(12, n)
+        for a in range(50):
+            assert any(s % step == 0 for s in range(a, a + run - width + 1))
+
+
+def test_index_against_all_pairs():
+    r = np.random.default_rng(2)
+    for cosine in (0.5, 0.85, 0.95):
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (r.standard_normal((400, 5)), r.standard_normal((300, 5))))
+        i, j = leakage.Index(y, cosine).near(x.astype(np.float32))
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in np.argwhere(x @ y.T >= cosine).tolist()}
 
 
 def test_common_subsequence():
@@ -95,55 +103,84 @@ def test_latent_vectors_follow_the_singular_ones(spark):
     assert np.linalg.norm(a @ w) ** 2 > 0.85 * best
 
 
-def test_paraphrases(spark):
-    r = random.Random(5)
-    item = [f"имя{i}" if i % 4 == 0 else f"слово{r.randrange(50)}" for i in range(40)]
-    changed = [w for i, w in enumerate(item) if i % 9 != 5 or i % 4 == 0]
-    docs = [(1, " ".join(VOCABULARY[:50] + changed + VOCABULARY[60:90])), (2, " ".join(r.choices(VOCABULARY, k=200))), (3, " ".join(item))]
-    got = {x.doc_id for x in leakage.paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
-    assert got == {1, 3}
+def changed(words, share, r):
+    out = list(words)
+    for i in r.sample(range(len(out)), round(share * len(out))):
+        out[i] = r.choice(VOCABULARY)
+    return out
+
+
+def topics(r, n, size):
+    """Texts of one of ten topics each, whose words keep together."""
+    return [(t, r.choices([f"тема{t}слово{i}" for i in range(60)] + VOCABULARY[:20], k=size)) for t in (r.randrange(10) for _ in range(n))]
+
+
+def test_planted_paraphrases_are_found_and_random_vectors_lose_them(spark, monkeypatch):
+    r = random.Random(11)
+    items = [(i, " ".join(w)) for i, (_, w) in enumerate(topics(r, 60, 30))]
+    docs = [(d, " ".join(w)) for d, (_, w) in enumerate(topics(r, 400, 80))]
+    planted = {}
+    for share in (0.1, 0.2, 0.3):
+        for i, text in items:
+            host = r.choice(docs)[1].split()
+            at = r.randrange(len(host))
+            docs.append((len(docs), " ".join(host[:at] + changed(text.split(), share, r) + host[at:])))
+            planted[len(docs) - 1, i] = share
+    df, it = (spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
+
+    def recall():
+        got = {(x.doc_id, x.item_id) for x in leakage.paraphrases(df, it).collect()}
+        return [sum(p in got for p, s in planted.items() if s == share) / len(items) for share in (0.1, 0.2, 0.3)]
+
+    fitted, fit = recall(), leakage.fit
+    assert min(fitted) >= 0.9
+
+    def at_random(docs):
+        idf, v = fit(docs)
+        return idf, (np.random.default_rng(1).standard_normal(v.shape) * idf[:, None]).astype(np.float32)
 
+    monkeypatch.setattr(leakage, "fit", at_random)
+    assert sum(recall()) < sum(fitted) - 0.2
 
-def test_paraphrases_without_a_rare_word(spark):
-    r = random.Random(5)
-    item = [f"имя{i}" if i % 4 == 0 else f"слово{r.randrange(50)}" for i in range(40)]
-    changed = [w for i, w in enumerate(item) if i % 9 != 5]  # имя32 is among those left out
-    foreign = ["nowhere", *item[1:]]  # a word that no document has
-    docs = [(1, " ".join(VOCABULARY[:50] + changed + VOCABULARY[60:90])), (2, " ".join(r.choices(VOCABULARY, k=200))), (3, " ".join(item))]
-    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(foreign))], "item_id long, text string")
-    got = {(x.doc_id, x.item_id) for x in leakage.paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
-    assert got == {(1, 7), (1, 8), (3, 7), (3, 8)}
 
+def test_paraphrases_hold_the_item_in_order_and_its_answers(spark):
+    item = [f"имя{i}" if i % 4 == 0 else f"слово{i}" for i in range(40)]
+    near = [w for i, w in enumerate(item) if i % 9 != 5]
+    docs = [(1, VOCABULARY[:50] + near + VOCABULARY[60:90]), (2, VOCABULARY[::3]), (3, item), (4, item[::-1]), (5, item[:12] + VOCABULARY[:80])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs] + [(6, None), (7, "")], "doc_id long, text string")
+    it = spark.createDataFrame([(7, " ".join(item)), (8, ""), (9, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in leakage.paraphrases(df, it).collect()}
+    assert set(got) == {1, 3} and got[3].common == 1.0 and got[3].answers == 1.0 and got[1].common == len(near) / 40
+    assert leakage.paraphrases(df, it.where("false")).count() == 0 and leakage.paraphrases(df.where("false"), it).count() == 0
 
-def test_documents_passed_by_hold_no_paraphrase():
-    r = random.Random(3)
-    texts = [np.array(r.choices(range(30), k=r.choice([1, 3, 8, 20])), dtype=np.int32) for _ in range(12)]
-    docs = [np.array(r.choices(range(40), k=r.choice([1, 5, 30])), dtype=np.int32) for _ in range(600)]
-    got = list(leakage._Held(texts, 0.6).pairs(np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])))
-    want = {(d, k) for d, doc in enumerate(docs) for k, t in enumerate(texts) if leakage.common_subsequence(t.tolist(), doc.tolist()) / len(t) >= 0.6}
-    assert want and want <= set(got) and len(got) == len(set(got))
+
+def test_best_stretch_against_all():
+    r = random.Random(4)
+    for _ in range(300):
+        doc, text = ([r.randrange(6) for _ in range(r.randrange(1, 30))] for _ in range(2))
+        text = text[:8]
+        length = min(2 * len(text), len(doc))
+        begins = np.array(sorted(r.sample(range(len(doc) - length + 1), r.randrange(1, len(doc) - length + 2))))
+        own = np.r_[0, np.cumsum(np.isin(doc, text))]
+        want = max(leakage.common_subsequence(text, doc[b : b + length]) for b in begins.tolist())
+        got = leakage._best_stretch(doc, own, begins, leakage._places(text), len(text), 2)
+        assert got[0] == (want if want >= 2 else 0)
+        assert got[1] < 0 or leakage.common_subsequence(text, doc[got[1] : got[1] + length]) == want
 
 
 def test_answers(spark):
     docs = leakage.hashed(spark.createDataFrame([(1, "a b c d e f 12"), (2, "a b c d e f"), (3, "a b c")], "doc_id long, text string"), "doc_id", "text")
     items = spark.createDataFrame([(1, "a b c d 12 77 gone")], "item_id long, text string")
-    (own,) = leakage._answers(docs, items, [np.array(leakage.word_hashes("a b c d 12 77 gone"), dtype=np.int32)])
-    assert own == set(leakage.word_hashes("12 d a")) and [leakage._enough(n) for n in range(7)] == [0, 0, 1, 2, 3, 4, 4]
+    (own,) = leakage._answers(docs, leakage._numbers(items), [np.array(leakage.word_hashes("a b c d 12 77 gone"), dtype=np.int32)])
+    assert set(own.tolist()) == set(leakage.word_hashes("12 d a"))
 
 
-def test_paraphrases_against_all_pairs(spark):
+def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
     docs, items = sample()
     df, it = (spark.createDataFrame(x, f"{k} long, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
-    want, told = {}, [(i, leakage.word_hashes(t)) for i, t in items if t and leakage.word_hashes(t)]
-    answers = leakage._answers(leakage.hashed(df, "doc_id", "text"), it, [np.array(t, dtype=np.int32) for _, t in told])
-    for d, text in docs:
-        doc = leakage.word_hashes(text)
-        for (i, t), own in zip(told if d is not None else [], answers, strict=False):
-            for a in range(max(1, len(doc) - 2 * len(t) + 1)):
-                part = doc[a : a + 2 * len(t)]
-                if len(set(part) & set(t)) and (c := leakage.common_subsequence(t, part) / len(t)) >= 0.6 and len(own & set(part)) >= leakage._enough(len(own)):
-                    want[d, i] = max(c, want.get((d, i), 0.0))
-    # Without a bound of cosine, every stretch holds a candidate.
-    assert {(r.doc_id, r.item_id): r.common for r in leakage.paraphrases(df, it, cosine=-2.0).collect()} == want
-    got = {(r.doc_id, r.item_id) for r in leakage.paraphrases(df, it).collect()}
-    assert got <= set(want)
+    monkeypatch.setattr(leakage, "PIECE_WORDS", 30)
+    assert {tuple(r) for r in leakage.leaks(df, it, block=700).collect()} == brute(docs, items)
+
+
+def test_ladder():
+    assert [leakage.ladder(n) for n in (1, 2, 3, 4, 5, 9, 11, 40, 41, 100, 120)] == [1, 2, 3, 4, 4, 8, 12, 32, 48, 96, 128]

@@ -5,28 +5,30 @@ Latent semantic retrieval, then exact checks:
 1. Words are runs of letters and digits in one form, without case; each is a
    32-bit hash. They are computed once and written to the shared folder.
 2. A randomised SVD of the TF-IDF matrix of all passages (blocks of words of all
-   documents; hashed vocabulary) is computed in distributed passes: each
-   partition adds its part of A'AX, the small sketch is orthonormalised on the
-   driver, and a second pass rotates it to the leading singular vectors.
-3. Every window of words of every document is held against the windows of the
-   items by cosine in that space (for verbatim leaks, against those in its own
-   orthant). Item windows lie so close to each other that
-   any run that counts holds one whole; a document window equal to it has the
-   same vector, so the search misses no verbatim leak at any threshold below 1.
-4. For verbatim leaks, the run of equal words around a candidate is measured.
-   For paraphrases, the longest common subsequence of the item and a stretch that
-   holds the candidate, of twice the item's length, must be long, and most of the
-   item's answers (those of its numbers and rarest words that the corpus has) must
-   be there. Documents and stretches without that many of the item's words can't
-   have so long a subsequence, so step 3 passes them by, which loses nothing.
-
-Null and empty texts have no words and leak nothing; items without words match
-nothing. Equal rows give a pair once. Items are read to the driver after a check
-of their number, and searched in blocks.
+   documents; hashed vocabulary) is computed in distributed passes: each task adds
+   its part of A'AX, the small sketch is orthonormalised on the driver, and a
+   second pass rotates it to the leading singular vectors.
+3. Windows of all documents, on a grid, are held against windows of the items, on
+   a grid of their own, by cosine in that space. An index of the item windows in
+   clusters passes by what the triangle inequality of angles rules out, and
+   nothing else. ``leaks`` takes windows of 9 words; where the items' grid is too
+   coarse for a window of theirs to lie within the cosine of a neighbour on it,
+   that window is put in as well, so every run that counts has a candidate.
+   ``paraphrases`` takes windows about as long as the item.
+4. For verbatim leaks, the run of equal words around a candidate is measured. For
+   paraphrases, the longest common subsequence of the item and a stretch that
+   holds the candidate, of twice the item's length, and the share of the item's
+   answers (numbers, and the rarest words that the corpus has) in it make a score.
+
+Items are taken in blocks of a bounded number of words, one pass over the
+documents' words for each; an item of more words is searched in pieces that
+overlap by a run. Null and empty texts have no words and leak nothing; items
+without words match nothing. Equal rows give a pair once.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -42,14 +44,18 @@ from voxframe.llm import textform
 from voxframe.operators.storage import fill_cores, materialise
 
 #: Hashed vocabulary, words of a passage, kept dimensions, extra ones of the sketch.
-BUCKETS, PASSAGE, DIMENSIONS, EXTRA = 1 << 14, 16, 32, 16
-#: Words of a window; item words that are read to the driver; item windows that are searched at once.
-WINDOW, MAX_ITEM_WORDS, BLOCK = 8, 20_000_000, 8192
-#: Coordinates whose signs a verbatim search goes by.
-SIGNS = 24
-#: Rarest words that are answers of an item, and the share of its answers that must be there.
-RAREST, ANSWERS = 3, 2 / 3
-_CHUNKS, FAN = 64, 64
+BUCKETS, PASSAGE, DIMENSIONS, EXTRA = 1 << 14, 16, 64, 16
+#: Words of a window, and the step of the windows of documents and of items.
+WINDOW, DOC_STEP, ITEM_STEP = 9, 4, 2
+#: Least cosine of a candidate of a verbatim leak, and of a paraphrase.
+COSINE, NEAR = 0.85, 0.75
+#: Words of items that are searched in one pass, and of an item's piece.
+BLOCK_WORDS, PIECE_WORDS = 1_000_000, 100_000
+#: Windows that are held against the index at once, and words of a document that are summed at once.
+CHUNK = 1 << 15
+#: Rarest words that are answers of an item; weight of the answers in the score; least score of a paraphrase.
+RAREST, ANSWERS, SCORE = 3, 0.15, 0.55
+_CHUNKS, FAN, TASKS = 64, 64, 4
 _PAIR = "doc_id long, item_id long"
 # Words in text without characters that need folding; these hide none of a word's letters.
 _WORD = re.compile(r"[^\W_]+")
@@ -155,7 +161,9 @@ def _partials(docs: DataFrame, each, width: int) -> np.ndarray:
         return {"chunk": group["chunk"][:1], "branch": group["branch"][:1], "part": [total.astype(np.float32).tobytes()]}
 
     kind = "chunk int, branch long, part binary"
-    sums, branches = docs.mapInArrow(run, kind), docs.rdd.getNumPartitions()
+    # Tasks of several partitions each, a few for each core, so that sketches don't grow with the corpus.
+    branches = min(docs.rdd.getNumPartitions(), TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+    sums = docs.coalesce(branches).mapInArrow(run, kind)
     while branches > 1:  # a tree, so that no task adds more than FAN parts
         sums = map_group(sums.withColumn("branch", F.floor(F.col("branch") / FAN)), ["chunk", "branch"], add, kind)
         branches = -(-branches // FAN)
@@ -191,7 +199,7 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             cuts = np.unique(np.r_[edge[np.searchsorted(edge, np.arange(0, len(words), 200_000))], len(words)])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 p, k = _passages(words[a:b], row[a:b]), _buckets(words[a:b])
-                weighted = (x_[k] * idf_[k, None]).astype(np.float32)
+                weighted = x_[k] * idf_[k, None]
                 start = np.r_[0, np.flatnonzero(np.diff(p)) + 1]
                 projected = np.add.reduceat(weighted, start, axis=0)
                 norm = np.sqrt(np.add.reduceat(idf_[k] ** 2, start))
@@ -214,40 +222,103 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return idf, (v * idf[:, None]).astype(np.float32)
 
 
-# ---- the search
+# ---- the index
 
 
-def _windows(values: np.ndarray, row: np.ndarray, vectors: np.ndarray, width: int, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Start and unit latent vector of each window that lies in one row (and holds none but words of ``vocabulary``)."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, vectors.shape[1]), dtype=np.float32)
-    bucket = _buckets(values)
-    inside = row[:n] == row[width - 1 :]
-    if vocabulary is not None:
-        known = np.r_[0, np.cumsum(vocabulary[bucket])]
-        inside &= known[width:] - known[:n] == width
-    starts = np.flatnonzero(inside)
+def shape(n: int, run: int) -> tuple[int, int]:
+    """Width and step of document windows, one of which lies whole in each run of ``min(run, n)`` words."""
+    least = min(run, n)
+    return (min(WINDOW, least - DOC_STEP + 1), DOC_STEP) if least >= DOC_STEP else (least, 1)
+
+
+def _units(words: np.ndarray, starts: np.ndarray, width: int, vectors: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of the windows at ``starts``."""
+    bucket = _buckets(words)
     total = vectors[bucket[starts]]
     for i in range(1, width):
         total += vectors[bucket[starts + i]]
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return starts, total / np.maximum(norm, 1e-12)
-
-
-def item_windows(items: list[list[int]], run: int) -> dict[int, list[tuple[int, int]]]:
-    """By width, ``(item, start)`` of windows so placed that any ``run`` words of an item hold one of them."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    for k, words in enumerate(items):
-        n = len(words)
-        if n:
-            width = min(WINDOW, n)
-            step = max(1, min(run, n) - width + 1)
-            starts = [*range(0, n - width + 1, step)]
-            if starts[-1] + width < n:
-                starts.append(n - width)
-            out.setdefault(width, []).extend((k, s) for s in starts)
-    return out
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+
+
+def _grid(text: np.ndarray, width: int, vectors: np.ndarray, cosine: float, fill: bool = True) -> np.ndarray:
+    """Starts of an item's windows: each ``ITEM_STEP``, the last, and those that no neighbour among these comes near to."""
+    n = len(text) - width + 1
+    on = np.zeros(n, dtype=bool)
+    on[::ITEM_STEP] = on[-1] = True
+    if fill and n > 1:
+        x = _units(text, np.arange(n), width, vectors)
+        beside = np.einsum("ij,ij->i", x[1:], x[:-1])
+        near = np.where(on, 1.0, 0.0)
+        near[1:] = np.maximum(near[1:], np.where(on[:-1], beside, 0.0))
+        near[:-1] = np.maximum(near[:-1], np.where(on[1:], beside, 0.0))
+        on |= near < cosine + 1e-4
+    return np.flatnonzero(on)
+
+
+class Index:
+    """Unit vectors in clusters; finds all of a least cosine to others by the triangle inequality of angles."""
+
+    def __init__(self, x: np.ndarray, cosine: float, rounds: int = 4):
+        self.cosine = cosine
+        k = max(1, min(len(x), int(2 * np.sqrt(len(x)))))
+        centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
+        for _ in range(rounds):
+            own = np.concatenate([(x[a : a + CHUNK] @ centres.T).argmax(axis=1) for a in range(0, len(x), CHUNK)])
+            order = np.argsort(own, kind="stable")
+            ids, first = np.unique(own[order], return_index=True)
+            centres = np.add.reduceat(x[order], first, axis=0)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        self.centres, edges = centres.astype(np.float32), np.r_[first, len(x)]
+        self.members = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.held = [x[m].astype(np.float32) for m in self.members]
+        reach = np.arccos(np.clip(cosine, -1, 1))
+        widest = [np.arccos(np.clip((h @ c).min(), -1, 1)) for h, c in zip(self.held, self.centres, strict=True)]
+        self.bound = np.array([np.cos(min(np.pi, w + reach)) for w in widest]) - 1e-4
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of ``x``, indexed vector) of at least the cosine."""
+        close = x @ self.centres.T >= self.bound
+        rows, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for c, (members, held) in enumerate(zip(self.members, self.held, strict=True)):
+            at = np.flatnonzero(close[:, c])
+            if len(at):
+                i, j = np.nonzero(x[at] @ held.T >= self.cosine)
+                rows.append(at[i])
+                found.append(members[j])
+        return np.concatenate(rows), np.concatenate(found)
+
+
+class _Windows:
+    """The indexed windows of one shape over a block's items, laid end to end."""
+
+    def __init__(self, texts: list[np.ndarray], own: list[int], width: int, step: int, vectors: np.ndarray, cosine: float, fill: bool):
+        self.width, self.step = width, step
+        self.words = np.concatenate([texts[k] for k in own])
+        size = np.array([len(texts[k]) for k in own])
+        self.low = np.cumsum(size) - size  # where each item begins
+        starts = [_grid(texts[k], width, vectors, cosine, fill) for k in own]
+        self.item = np.repeat(np.arange(len(own)), [len(s) for s in starts])
+        self.at = np.concatenate([s + low for s, low in zip(starts, self.low, strict=True)])
+        self.high, self.own = self.low + size, np.array(own)
+        self.index = Index(_units(self.words, self.at, width, vectors), cosine)
+
+    def equal(self, values: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(start, item, place)`` where a candidate's window equals the item's at its place or beside it."""
+        item, at = self.item[j], self.at[j]
+        for shift in range(1 - ITEM_STEP, ITEM_STEP):
+            q, p, k = at + shift, starts[i], item
+            ok = (q >= self.low[k]) & (q + self.width <= self.high[k])
+            q, p, k = q[ok], p[ok], k[ok]
+            for m in range(self.width):
+                ok = values[p + m] == self.words[q + m]
+                q, p, k = q[ok], p[ok], k[ok]
+            yield from zip(p.tolist(), k.tolist(), q.tolist(), strict=True)
+
+
+def _starts(row: np.ndarray, first: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Starts of windows of ``width`` each ``step`` words of a row, for rows end to end."""
+    at = np.arange(max(0, len(row) - width + 1))
+    return at[((at - first[row[at]]) % step == 0) & (row[at] == row[at + width - 1])]
 
 
 def _run_around(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> int:
@@ -261,6 +332,34 @@ def _run_around(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> int:
     return a + b
 
 
+def windows_of(texts: list[np.ndarray], run: int, vectors: np.ndarray, cosine: float = COSINE, fill: bool = True) -> list[_Windows]:
+    """The index of a block of items, by shape of window."""
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(texts):
+        shapes.setdefault(shape(len(t), run), []).append(k)
+    return [_Windows(texts, own, width, step, vectors, cosine, fill) for (width, step), own in sorted(shapes.items())]
+
+
+def found_in(values: np.ndarray, row: np.ndarray, index: list[_Windows], texts: list[np.ndarray], run: int, vectors: np.ndarray) -> set[tuple[int, int]]:
+    """``(row, item)`` of verbatim leaks in documents end to end."""
+    out: set[tuple[int, int]] = set()
+    first = np.searchsorted(row, np.arange(int(row[-1]) + 2)) if len(row) else np.zeros(1, dtype=np.int64)
+    for w in index:
+        starts = _starts(row, first, w.width, w.step)
+        for a in range(0, len(starts), CHUNK):
+            part = starts[a : a + CHUNK]
+            i, j = w.index.near(_units(values, part, w.width, vectors))
+            for p, k, q in w.equal(values, part, i, j):
+                d, item = int(row[p]), int(w.own[k])
+                text = texts[item]
+                if (d, item) not in out and _run_around(values[first[d] : first[d + 1]], text, p - int(first[d]), q - int(w.low[k])) >= min(run, len(text)):
+                    out.add((d, item))
+    return out
+
+
+# ---- longest common subsequences
+
+
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence (bit-parallel)."""
     return _in_common(_places(a), len(a), b)
@@ -281,240 +380,235 @@ def _in_common(at: dict[int, int], n: int, b: list[int]) -> int:
         if y in at:
             u = v & at[y]
             v = ((v + u) | (v - u)) & full
-    return bin(full & ~v).count("1")
-
+    return (full & ~v).bit_count()
 
-def _codes(x: np.ndarray) -> np.ndarray:
-    """Signs of the first coordinates, as one number."""
-    return (x[:, :SIGNS] > 0).astype(np.int64) @ (1 << np.arange(SIGNS, dtype=np.int64))
 
+def _best_stretch(doc: list[int], own: np.ndarray, begins: np.ndarray, at: dict[int, int], n: int, least: int) -> tuple[int, int]:
+    """Greatest common subsequence with a stretch of twice ``n`` words at one of ``begins``, of at least ``least``, and its begin; ``own``: how many of the item's words come before each place."""
+    length, best, where, b, need = min(2 * n, len(doc)), 0, -1, 0, least
+    begins = begins[own[begins + length] - own[begins] >= need]
+    while b < len(begins) and need <= n:
+        begin = int(begins[b])
+        common = _in_common(at, n, doc[begin : begin + length])
+        if common >= need:
+            best, where, need = common, begin, common + 1
+            b += 1
+        else:
+            # A word that enters adds one at most, so the next to reach it has as many of the item's words more.
+            b = max(b + 1, int(np.searchsorted(begins, np.searchsorted(own, own[begin + length] + need - common) - length)))
+    return best, where
 
-def _candidates(starts: np.ndarray, x: np.ndarray, unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place among ``starts``, item window) in one orthant of the first coordinates whose cosine reaches ``cosine``.
 
-    Equal windows have equal vectors, so they always meet; others that are near may not.
-    """
-    mine, theirs = _codes(x), _codes(unit)
-    order = np.argsort(theirs, kind="stable")
-    low, high = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
-    n = high - low
-    i = np.repeat(np.arange(len(starts)), n)
-    j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    near = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], unit[j[a : a + 65536]]) >= cosine for a in range(0, len(i), 65536)] or [np.zeros(0, dtype=bool)])
-    return i[near], j[near]
+# ---- the items
 
 
-def _document_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
-    """Documents that each of the sorted ``words`` stands in."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def _pieces(items: DataFrame, run: int | None) -> DataFrame:
+    """``item_id, part, words`` of items with words, each once; long ones in pieces that overlap by a run less one."""
+    rows = hashed(items, "item_id", "text").distinct()
+    if run is None:
+        return rows.select("item_id", F.lit(0).alias("part"), "words")
+    step = PIECE_WORDS - run + 1
+    begins = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - run), F.lit(step))
+    return rows.select("item_id", F.explode(begins).alias("part"), "words").withColumn("words", F.slice("words", F.col("part") + 1, PIECE_WORDS))
 
-    def run(b: pa.RecordBatch) -> dict:
-        values, row = _flat(b)
-        at = np.minimum(np.searchsorted(shared.value, values), len(shared.value) - 1)
-        own = shared.value[at] == values
-        n = np.bincount(np.unique(row[own] * len(shared.value) + at[own]) % len(shared.value), minlength=len(shared.value))
-        seen = np.flatnonzero(n)
-        return {"word": pa.array(seen), "n": pa.array(n[seen])}
 
-    out = np.zeros(len(words), dtype=np.int64)
-    for r in map_batches(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[r["word"]] = r["n"]
-    return out
+def blocks(pieces: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """``(item_id, words)`` of items in blocks of about ``most`` words; only one block is with the driver at a time."""
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    n = -(-total // most)
+    h = F.pmod(F.xxhash64("item_id", "part"), F.lit(max(1, n)))
+    for b in range(n):
+        own = pieces if n == 1 else pieces.where(h == b)
+        if got := sorted((r["item_id"], tuple(r["words"])) for r in own.collect()):
+            yield [(i, np.array(w, dtype=np.int32)) for i, w in dict.fromkeys(got)]
 
 
-class _Held:
-    """Finds the items of whose words a document holds at least ``share``, wherever they stand in it."""
-
-    def __init__(self, texts: list[np.ndarray], share: float):
-        item = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        self.words, at = np.unique(np.concatenate(texts), return_inverse=True)
-        pairs, self.count = np.unique(at * len(texts) + item, return_counts=True)
-        self.item = pairs % len(texts)
-        self.first = np.searchsorted(pairs // len(texts), np.arange(len(self.words) + 1))
-        self.size, self.share = np.array([len(t) for t in texts]), share
-
-    def at(self, values: np.ndarray) -> np.ndarray:
-        """Place of each word among the items' words, or their number."""
-        at = np.minimum(np.searchsorted(self.words, values), len(self.words) - 1)
-        return np.where(self.words[at] == values, at, len(self.words))
-
-    def pairs(self, values: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int]]:
-        """``(row, item)`` for documents end to end."""
-        n = int(row[-1]) + 1 if len(row) else 0
-        step = max(1, min(256, 4_000_000 // len(self.size)))
-        for lo in range(0, n, step):
-            s, e = np.searchsorted(row, [lo, lo + step])
-            at = self.at(values[s:e])
-            own = at < len(self.words)
-            met, there = np.unique((row[s:e][own] - lo) * len(self.words) + at[own], return_counts=True)
-            word, doc = met % len(self.words), met // len(self.words)
-            many = self.first[word + 1] - self.first[word]
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - self.first[word], many)
-            both = np.minimum(np.repeat(there, many), self.count[place])
-            shared = np.bincount(np.repeat(doc, many) * len(self.size) + self.item[place], weights=both, minlength=step * len(self.size)).reshape(step, -1)
-            for d, k in np.argwhere((shared > 0) & (shared / self.size >= self.share)).tolist():
-                yield lo + d, k
-
-
-def _hopeful(own: np.ndarray, n: int, share: float) -> np.ndarray:
-    """Begins of the stretches, twice as long as the item of ``n`` words, that hold so many of its; ``own``: how many come before each place."""
-    length = min(2 * n, len(own) - 1)
-    return np.flatnonzero((own[length:] - own[: len(own) - length]) / n >= share)
-
-
-def _around(begins: np.ndarray, starts: np.ndarray, near: np.ndarray, width: int, length: int, words: int) -> np.ndarray:
-    """Those ``begins`` of stretches of ``length`` words that hold a whole window which is near one of the item's."""
-    windows = np.zeros(words + 1, dtype=np.int64)
-    windows[starts[near] + 1] = 1
-    windows = np.cumsum(windows)
-    return begins[windows[begins + length - width + 1] > windows[begins]]
-
-
-def _most(doc: list[int], begins: np.ndarray, own: np.ndarray, at: dict[int, int], n: int, share: float, answers: set[int]) -> float:
-    """Greatest share of the item in common with a stretch at one of ``begins`` that holds enough answers; 0 where none reaches ``share``."""
-    length, need, best, b = min(2 * n, len(doc)), next(c for c in range(n + 2) if c / n >= share), 0, 0
-    while b < len(begins) and need <= n:
-        begin = int(begins[b])
-        stretch = doc[begin : begin + length]
-        common = _in_common(at, n, stretch)
-        if common < need:
-            # A word that enters adds one at most, so the next to reach it has as many of the item's words more.
-            b = int(np.searchsorted(begins, np.searchsorted(own, own[begin + length] + need - common) - length))
-            continue
-        if len(answers.intersection(stretch)) >= _enough(len(answers)):
-            best, need = common, common + 1
-        b += 1
-    return best / n
+def _documents(documents: DataFrame) -> DataFrame:
+    return materialise(hashed(documents, "doc_id", "text"), "leak_words")
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = 12, cosine: float = 0.98) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = 12, cosine: float = COSINE, block: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id``: the document holds ``run`` consecutive words of the item, or all of a shorter one."""
     spark = documents.sparkSession
-    docs, rows = _read(documents, items)
-    if not rows:
+    pieces = _pieces(items, run)
+    if pieces.isEmpty():
         return spark.createDataFrame([], _PAIR)
+    docs = _documents(documents)
     _, vectors = fit(docs)
-    ids, texts = [r[0] for r in rows], [np.array(r[1], dtype=np.int32) for r in rows]
-    vocabulary = np.zeros(BUCKETS, dtype=np.int64)
-    vocabulary[_buckets(np.concatenate(texts))] = 1
-    groups = {}
-    for width, (item, start, unit) in _item_vectors(texts, run, vectors).items():
-        for a in range(0, len(item), BLOCK):
-            groups[width, a] = (unit[a : a + BLOCK], item[a : a + BLOCK], start[a : a + BLOCK])
-    shared = spark.sparkContext.broadcast((vectors, groups, ids, texts, vocabulary))
+    found = []
+    for held in blocks(materialise(pieces, "leak_items"), block):
+        ids, texts = [i for i, _ in held], [t for _, t in held]
+        found.append(_leaks_of(docs, spark.sparkContext.broadcast((vectors, windows_of(texts, run, vectors, cosine), ids, texts)), run))
+    return functools.reduce(DataFrame.unionAll, found).distinct()
 
+
+def _leaks_of(docs: DataFrame, shared, run: int) -> DataFrame:
     def look(b: pa.RecordBatch) -> dict:
-        vectors_, groups_, ids_, texts_, vocabulary_ = shared.value
+        vectors, index, ids, texts = shared.value
         values, row = _flat(b)
         doc_ids = b.column("doc_id").to_pylist()
-        first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
-        found: set[tuple[int, int]] = set()
-        for lo in range(0, len(doc_ids), 500):
-            s, e = int(first[lo]), int(first[min(lo + 500, len(doc_ids))])
-            part, part_row = values[s:e], row[s:e]
-            for (width, _), (unit, item, start) in groups_.items():
-                starts, x = _windows(part, part_row, vectors_, width, vocabulary_)  # windows equal to an item's hold none but words of items
-                i, j = _candidates(starts, x, unit, cosine)
-                for p, k, q in zip(starts[i].tolist(), item[j].tolist(), start[j].tolist(), strict=True):
-                    d = int(part_row[p])
-                    doc, at, text = values[first[d] : first[d + 1]], int(s + p - first[d]), texts_[k]
-                    if (d, k) not in found and doc[at] == text[q] and _run_around(doc, text, at, q) >= min(run, len(text)):
-                        found.add((d, k))
-        return {"doc_id": [doc_ids[d] for d, _ in found], "item_id": [ids_[k] for _, k in found]}
-
-    return map_batches(docs, look, _PAIR).distinct()
-
-
-def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.8, share: float = 0.6) -> DataFrame:
-    """``doc_id, item_id, common``: stretches that share at least ``share`` of an item's words in order, and most of its answers."""
+        found = {(doc_ids[d], ids[k]) for d, k in found_in(values, row, index, texts, run, vectors)}
+        return {"doc_id": [d for d, _ in found], "item_id": [i for _, i in found]}
+
+    return map_batches(docs, look, _PAIR)
+
+
+# ---- paraphrases
+
+
+def ladder(n: int) -> int:
+    """Width of the document windows that an item of ``n`` words is held against: the nearest of 2, 3, 4, 6, 8, 12 and so on."""
+    low = 1 << max(1, n.bit_length() - 1)
+    return min((low, low * 3 // 2, low * 2), key=lambda w: abs(w - n)) if n > 1 else 1
+
+
+class _Wholes:
+    """Items of one width of window, by the vectors of their whole texts."""
+
+    def __init__(self, texts: list[np.ndarray], own: list[int], width: int, vectors: np.ndarray, cosine: float):
+        self.width, self.step, self.own = width, max(1, width // 4), np.array(own)
+        total = np.stack([vectors[_buckets(texts[k])].sum(axis=0) for k in own])
+        self.index = Index(total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12), cosine)
+
+    def near(self, part: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows in a stretch of one document, by the running sums of its vectors, and items near them."""
+        width = min(self.width, len(part))
+        starts = np.arange(0, len(part) - width + self.step, self.step)
+        starts = np.minimum(starts, len(part) - width)
+        x = sums[starts + width] - sums[starts]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        i, j = self.index.near(x.astype(np.float32))
+        return starts[i], self.own[j]
+
+
+def wholes_of(texts: list[np.ndarray], vectors: np.ndarray, cosine: float = NEAR) -> list[_Wholes]:
+    widths: dict[int, list[int]] = {}
+    for k, t in enumerate(texts):
+        widths.setdefault(ladder(len(t)), []).append(k)
+    return [_Wholes(texts, own, width, vectors, cosine) for width, own in sorted(widths.items())]
+
+
+def _near_items(doc: np.ndarray, index: list[_Wholes], vectors: np.ndarray) -> dict[int, list[np.ndarray]]:
+    """By item, the places in a document of windows near to it."""
+    out: dict[int, list[np.ndarray]] = {}
+    for w in index:
+        for a in range(0, max(1, len(doc) - min(len(doc), w.width) + 1), CHUNK):
+            part = doc[a : a + CHUNK + w.width]
+            sums = np.zeros((len(part) + 1, vectors.shape[1]))
+            np.cumsum(vectors[_buckets(part)], axis=0, out=sums[1:])
+            at, item = w.near(part, sums)
+            for k in np.unique(item).tolist():
+                out.setdefault(k, []).append(at[item == k] + a)
+    return out
+
+
+def _scored(doc: np.ndarray, text: np.ndarray, at: dict[int, int], answers: np.ndarray, near: np.ndarray, width: int) -> tuple[float, float] | None:
+    """Share of the item in common with the best stretch that holds a window at one of the sorted places ``near``, and share of its answers there."""
+    n = len(text)
+    least = int(np.ceil(n * (SCORE - ANSWERS) / (1 - ANSWERS) - 1e-9))
+    length = min(2 * n, len(doc))
+    # Begins of stretches that hold a whole window, as bounds of their runs.
+    low, high = np.maximum(near + min(width, len(doc)) - length, 0), np.minimum(near, len(doc) - length)
+    lo, hi = int(low.min()), int(high.max()) + length
+    part = doc[lo:hi]
+    own = np.zeros(len(part) + 1, dtype=np.int64)
+    np.cumsum(np.isin(part, text), out=own[1:])
+    if own[-1] < least:
+        return None
+    mark = np.zeros(len(part) - length + 2, dtype=np.int64)
+    ok = low <= high
+    np.add.at(mark, low[ok] - lo, 1)
+    np.add.at(mark, high[ok] - lo + 1, -1)
+    begins = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    words = part.tolist()
+    common, begin = _best_stretch(words, own, begins, at, n, max(1, least))
+    if begin < 0:
+        return None
+    held = float(np.isin(answers, part[begin : begin + length]).mean()) if len(answers) else common / n
+    return common / n, held
+
+
+def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = NEAR, score: float = SCORE, block: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, item_id, common, answers``: stretches that say an item otherwise.
+
+    ``common``: the greatest share of the item's words that a stretch holds in their order; ``answers``: the share of the
+    item's answers there. A pair counts where 0.85 of the one and 0.15 of the other reach ``score``.
+    """
     spark = documents.sparkSession
-    docs, rows = _read(documents, items)
-    if not rows:
-        return spark.createDataFrame([], f"{_PAIR}, common double")
+    kind = f"{_PAIR}, common double, answers double"
+    pieces = _pieces(items, None)
+    if pieces.isEmpty():
+        return spark.createDataFrame([], kind)
+    docs = _documents(documents)
     _, vectors = fit(docs)
-    ids, texts = [r[0] for r in rows], [np.array(r[1], dtype=np.int32) for r in rows]
-    answers = _answers(docs, items, texts)
-    windows: list[tuple[int, np.ndarray]] = [(0, np.zeros(0))] * len(texts)
-    for width, (item, _, unit) in _item_vectors(texts, WINDOW, vectors).items():
-        edge = np.searchsorted(item, np.arange(len(texts) + 1))
-        for k in np.unique(item).tolist():
-            windows[k] = (width, unit[edge[k] : edge[k + 1]])
-    shared = spark.sparkContext.broadcast((vectors, windows, ids, texts, answers))
+    numbers, found = _numbers(items), []
+    for held in blocks(materialise(pieces, "paraphrase_items"), block):
+        ids, texts = [i for i, _ in held], [t for _, t in held]
+        answers = _answers(docs, numbers, texts)
+        shared = spark.sparkContext.broadcast((vectors, wholes_of(texts, vectors, cosine), ids, texts, answers))
+        found.append(_paraphrases_of(docs, shared, score, kind))
+    best = F.max(F.struct("common", "answers")).alias("b")
+    return functools.reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.common", "b.answers")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors_, windows_, ids_, texts_, answers_ = shared.value
-        held, places = _Held(texts_, share), [_places(t.tolist()) for t in texts_]
-        item_at = [np.searchsorted(held.words, t) for t in texts_]
-        of_item = np.zeros(len(held.words) + 1, dtype=bool)
-        for b in batches:
-            values, row = _flat(b)
-            doc_ids = b.column("doc_id").to_pylist()
-            first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
-            found: dict[tuple[int, int], float] = {}
-            word_at = held.at(values)
-            last, doc, mine = -1, [], {}
-            for d, k in held.pairs(values, row):
-                n, here = len(texts_[k]), slice(first[d], first[d + 1])
-                of_item[item_at[k]] = True
-                hit = of_item[word_at[here]]
-                of_item[item_at[k]] = False
-                own = np.zeros(len(hit) + 1, dtype=np.int64)
-                np.cumsum(hit, out=own[1:])
-                begins = _hopeful(own, n, share)
-                if not len(begins) or _in_common(places[k], n, values[here][hit].tolist()) / n < share:
-                    continue
-                if d != last:
-                    last, doc, mine = d, values[here].tolist(), {}
-                width, unit = windows_[k]
-                if width not in mine:
-                    mine[width] = _windows(values[here], np.zeros(len(doc), dtype=np.int64), vectors_, width)
-                starts, x = mine[width]
-                near = np.concatenate([(x[a : a + 4096] @ unit.T >= cosine).any(axis=1) for a in range(0, len(starts), 4096)] or [np.zeros(0, dtype=bool)])
-                begins = _around(begins, starts, near, width, min(2 * n, len(doc)), len(doc))
-                if common := _most(doc, begins, own, places[k], n, share, answers_[k]):
-                    found[d, k] = common
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_ids[d] for d, _ in found], pa.int64()), "item_id": pa.array([ids_[k] for _, k in found], pa.int64()), "common": pa.array(list(found.values()), pa.float64())})
-
-    return docs.mapInArrow(run, f"{_PAIR}, common double").groupBy("doc_id", "item_id").agg(F.max("common").alias("common"))
-
-
-def _read(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, list[tuple[int, tuple[int, ...]]]]:
-    """The documents' words in the shared folder, and the distinct items with words."""
-    docs = materialise(hashed(documents, "doc_id", "text"), "leak_words")
-    held = hashed(items, "item_id", "text")
-    words = held.agg(F.sum(F.size("words"))).first()[0] or 0
-    if words > MAX_ITEM_WORDS:
-        raise ValueError(f"{words} words of items are beyond what is searched in one call")
-    return docs, sorted({(r["item_id"], tuple(r["words"])) for r in held.collect()})
-
-
-def _item_vectors(texts: list[np.ndarray], run: int, vectors: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By width, item, start and unit latent vector of the windows of all items, in the order of the items."""
-    out = {}
-    for width, places in item_windows([list(t) for t in texts], run).items():
-        flat = np.concatenate([texts[k][s : s + width] for k, s in places])
-        _, unit = _windows(flat, np.repeat(np.arange(len(places)), width), vectors, width)
-        out[width] = (np.array([k for k, _ in places]), np.array([s for _, s in places]), unit)
-    return out
 
+def _paraphrases_of(docs: DataFrame, shared, score: float, kind: str) -> DataFrame:
+    def look(b: pa.RecordBatch) -> dict:
+        vectors, index, ids, texts, answers = shared.value
+        width = {int(k): w.width for w in index for k in w.own}
+        places: dict[int, dict[int, int]] = {}
+        out: dict[str, list] = {"doc_id": [], "item_id": [], "common": [], "answers": []}
+        for doc_id, words in zip(b.column("doc_id").to_pylist(), b.column("words"), strict=True):
+            doc = words.values.to_numpy(zero_copy_only=False)
+            for k, near in _near_items(doc, index, vectors).items():
+                if k not in places:
+                    places[k] = _places(texts[k].tolist())
+                got = _scored(doc, texts[k], places[k], answers[k], np.concatenate(near), width[k])
+                if got and (1 - ANSWERS) * got[0] + ANSWERS * got[1] >= score - 1e-9:
+                    for column, x in zip(out.values(), (doc_id, ids[k], *got), strict=True):
+                        column.append(x)
+        return out
+
+    return map_batches(docs, look, kind)
 
-def _enough(answers: int) -> int:
-    """Answers that must be there of so many: ``ANSWERS`` of them, of which one may always lack."""
-    return max(0, min(answers - 1, int(np.ceil(answers * ANSWERS - 1e-9))))
 
+def _document_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Documents that each of the sorted ``words`` of a block stands in."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-def _answers(docs: DataFrame, items: DataFrame, texts: list[np.ndarray]) -> list[set[int]]:
-    """Of each item, the numbers and the ``RAREST`` rarest words among those that stand in some document."""
+    def run(b: pa.RecordBatch) -> dict:
+        values, row = _flat(b)
+        at = np.minimum(np.searchsorted(shared.value, values), len(shared.value) - 1)
+        own = shared.value[at] == values
+        n = np.bincount(np.unique(row[own] * len(shared.value) + at[own]) % len(shared.value), minlength=len(shared.value))
+        seen = np.flatnonzero(n)
+        return {"word": pa.array(seen), "n": pa.array(n[seen])}
+
+    out = np.zeros(len(words), dtype=np.int64)
+    for r in map_batches(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
+    return out
+
+
+def _numbers(items: DataFrame) -> DataFrame:
+    """``word``: the hashes of the items' words with digits."""
 
     def digits(b: pa.RecordBatch) -> dict:
         found = {h for t in b.column("text").to_pylist() for w, h in zip(words_of(t), word_hashes(t), strict=True) if any(c.isdigit() for c in w)}
         return {"word": sorted(found)}
 
-    numbers = {r["word"] for r in map_batches(items.select("text").where("text is not null"), digits, "word int").distinct().collect()}
+    return map_batches(items.select("text").where("text is not null"), digits, "word int").distinct()
+
+
+def _answers(docs: DataFrame, numbers: DataFrame, texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each item of a block, the numbers and the ``RAREST`` rarest words among those that stand in some document."""
     words = np.unique(np.concatenate(texts))
+    spark = docs.sparkSession
+    own = spark.createDataFrame([(int(w),) for w in words], "word int")
+    digits = {r["word"] for r in numbers.join(own, "word", "left_semi").collect()}
     counts = dict(zip(words.tolist(), _document_counts(docs, words).tolist(), strict=True))
     out = []
     for text in texts:
         there = [w for w in dict.fromkeys(text.tolist()) if counts[w]]
-        out.append({w for w in there if w in numbers} | set(sorted(there, key=counts.__getitem__)[:RAREST]))
+        chosen = {w for w in there if w in digits} | set(sorted(there, key=counts.__getitem__)[:RAREST])
+        out.append(np.array(sorted(chosen), dtype=np.int32))
     return out
