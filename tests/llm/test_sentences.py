@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import random
+
+import numpy as np
 import pytest
 
 from voxframe.llm import sentences
 
-TRAINING = [
-    "Dr. Smith came. He left! Why? “A. B.” said they.\nSee Fig. 4 and p. 3 in vol. 8. Then etc. Next", "В 2004 г. летом нашли. В 2014 г. Сначала дали. См. рис. 7 и табл. 5 тут. Живёт в г. Омск. И т. д. Потом.",
-    "今日は晴れ。「はい。」と言った。明日は雨？", "他说：“好。走？”我们去了。嗯……今天好。", "आज हमने देखा। डॉ. वेलमा ने कहा।", "Am 5. Mai kam er. Wir z. B. nicht. Ну... да. Вот… Да.", "1. Раз. Два\n- Три! (Четыре.) Пять",
-]
+DATA = "/root/testdata/sf0.1/documents.parquet"
+# Units written down by hand; none of these lines is in the data that the model learns from.
 CASES = [
     ("Dr. Smith came at 3 p.m. The end.", ["Dr. Smith came at 3 p.m.", "The end."]),
     ("# Title\n\n[00:01] One two. Three", ["# Title", "[00:01] One two.", "Three"]),
@@ -33,8 +36,17 @@ CASES = [
 
 
 @pytest.fixture(scope="module")
-def weights():
-    return sentences.train(sentences.training_lines(TRAINING * 3))
+def texts():
+    if not os.path.exists(DATA):
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    return [x for x in pq.read_table(DATA, columns=["text"]).column("text").to_pylist() if x]
+
+
+@pytest.fixture(scope="module")
+def weights(texts):
+    return sentences.train(sentences.training_lines(texts[:4000]))
 
 
 @pytest.mark.parametrize(("text", "expected"), CASES)
@@ -48,34 +60,60 @@ def test_units_cover_all_but_blanks(weights):
         assert "".join(seen.split()) == "".join(text.split())
 
 
-def test_viterbi_against_all_paths():
-    import itertools
-    import random
+def test_what_is_learnt_matters(weights):
+    def right(w):
+        decode = sentences.decoder(w)
+        return sum([t[a - 1 : b] for a, b in sentences.units(t, decode)] == expected for t, expected in CASES)
+
+    assert right(weights) == len(CASES)
+    assert right(sentences.train([])) < len(CASES) / 2
+    # Without what is learnt of words, or of the marks that open a line, cases fail.
+    assert right({f: x for f, x in weights.items() if f[:2] not in ("w=", "s=")}) < len(CASES) - 3
+
 
+def test_held_out_breaks(weights, texts):
+    decode, breaks, missed, tagged, total = sentences.decoder(weights), 0, 0, 0, 0
+    for described, broke, sure in sentences.training_lines(texts[4000:6000]):
+        if not sure:
+            tags = decode(described)
+            breaks, missed = breaks + sum(broke), missed + sum(b and not t for b, t in zip(broke, tags))
+            tagged, total = tagged + sum(tags), total + len(tags)
+    assert breaks > 3000 and missed < breaks * 0.005
+    assert breaks < tagged < total  # other ends are found too, and not all candidates are ends
+
+
+def test_joined_and_stripped():
+    assert sentences.joined(["1. One.", "- 2. Two (so).", "[00:12] 今天好。", "明天。"]) == ("1. One. Two (so).今天好。明天。", {6, 16, 20})
+    assert sentences.stripped("今天，好。「明天」去！") == ("今天 好 明天 去", {3, 8})
+    assert list(sentences._closed(["A.", "# B", "C!", "D?", "e"])) == [["A."], ["C!", "D?"]]
+
+
+def test_viterbi_and_marginals_against_all_paths():
     r = random.Random(1)
     for _ in range(50):
         scores = [r.uniform(-2, 2) for _ in range(r.randrange(1, 7))]
         move = {k: r.uniform(-2, 2) for k in ("t00", "t01", "t10", "t11")}
 
         def total(tags):
-            return sum(s for s, t in zip(scores, tags) if t) + sum(move[m] for m in sentences._moves(list(tags)))
-
-        best = max(total(t) for t in itertools.product([False, True], repeat=len(scores)))
-        assert abs(total(sentences.viterbi(scores, move)) - best) < 1e-9
+            return sum(s for s, t in zip(scores, tags) if t) + sum(move[f"t{a}{b}"] for a, b in zip((1, *tags), tags))
+
+        paths = list(itertools.product([0, 1], repeat=len(scores)))
+        assert abs(total(sentences.viterbi(scores, move)) - max(map(total, paths))) < 1e-9
+        weight = np.exp([total(x) for x in paths])
+        weight /= weight.sum()
+        m = np.array([[move["t00"], move["t01"]], [move["t10"], move["t11"]]])
+        # Beside a longer chain, so that this one is padded.
+        s = np.zeros((8, 2))
+        s[: len(scores), 0] = scores
+        there = np.ones((8, 2), dtype=bool)
+        there[len(scores) :, 0] = False
+        p, _ = sentences._marginals(np.zeros_like(s), s, m, there)
+        assert np.allclose(p[: len(scores), 0], weight @ np.array(paths))
+        _, moves = sentences._marginals(np.zeros((len(scores), 1)), s[: len(scores), :1], m, there[: len(scores), :1])
+        assert np.allclose(moves, [[sum(w * sum(p == (a, b) for p in zip((1, *x), x)) for w, x in zip(weight, paths)) for b in (0, 1)] for a in (0, 1)])
     assert sentences.viterbi([], {}) == []
 
 
-def test_held_out_lines_are_tagged_as_their_conventions(weights):
-    wrong = total = 0
-    decode = sentences.decoder(weights)
-    for text, _ in CASES:
-        for line in text.split("\n"):
-            d = [x for _, x in sentences.candidates(line)]
-            wrong += sum(a != sentences.convention(x) for a, x in zip(decode(d), d))
-            total += len(d)
-    assert total > 30 and wrong <= total * 0.05
-
-
 def test_plan(spark, weights):
     rows = [(i, t, 5) for i, (t, _) in enumerate(CASES)] + [(90, None, 5), (91, CASES[0][0], 5), (92, "Слово тут. " * 20_000, 5), (None, "a", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start_pos int")
@@ -87,4 +125,6 @@ def test_plan(spark, weights):
         assert [t[a - 1 : b] for a, b in sorted(by.get(i, []))] == expected
     assert len(by[92]) == 20_000 and by[91] == by[0] and 90 not in by
     assert sentences.sentence_units(df.where("false")).count() == 0
-    assert sentences.sentence_units(df).count() > 20_000  # trained on these rows themselves
+    # Trained on these rows themselves, which teach little; lines still end units, and all text is covered.
+    own = sentences.sentence_units(df).where("doc_id < 90").collect()
+    assert sum(r.end_pos - r.start_pos + 1 for r in own) <= sum(len(t) for t, _ in CASES) and len(own) >= sum(len([x for x in t.splitlines() if x.strip()]) for t, _ in CASES)

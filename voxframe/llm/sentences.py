@@ -3,13 +3,20 @@
 Each character of a line is tagged as the last of a unit or as inside one, by a
 linear-chain model decoded with Viterbi. A character that ends no terminator,
 closer or divider has no way to the boundary tag; a line break always has one.
-The others ("candidates") are described by what a reader goes by: the mark, the
-word before it (known abbreviation, initial, ordinal, number, mark that opens
-the line), the kind of character that follows, and the state of quotes and
-brackets. Weights come from averaged structured-perceptron training on a bounded
-sample of the documents themselves, labelled by the conventions of the scripts.
-For scripts that divide sentences with blanks alone, those say that each blank
-outside quotes divides: a fixed rule, which the training only repeats.
+The others ("candidates") are described by what stands there: the mark, the token
+before it and its shape, the token before that, the kind of character that
+follows, the state of quotes and brackets, the script.
+
+The labels come from the documents themselves. The lines of a sample are put
+together as one text for each script, without line breaks and, where a script needs no
+punctuation, with nothing but a blank between them; a candidate at which a line
+or text ended is known to be a boundary, any other may be one or not. The model's weights
+maximise the likelihood of the breaks seen, given that a writer breaks the line
+after a share of the sentence ends only. That share is estimated for each script
+(the mean of the fitted break probabilities at the breaks). So abbreviations,
+initials, ordinals, decimals, list marks and quotations are learnt from where no
+line ever breaks. For scripts written without blanks, stripped lines are added in
+which a blank stands for each mark, a boundary where that mark was a full stop.
 
 Null and empty texts have no units; white space belongs to none. Very long texts
 are decoded line by line. Equal texts give equal units under each id; an id that
@@ -20,8 +27,10 @@ from __future__ import annotations
 
 import bisect
 import functools
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,14 +41,9 @@ from voxframe.llm.textform import _FOLD, canonical
 from voxframe.operators.storage import fill_cores
 
 #: Most documents of the training sample, and most weights that are broadcast.
-SAMPLE, MAX_WEIGHTS = 1500, 200_000
-MARGIN = 3.0
-
-# Abbreviations that never end a sentence, then those that may.
-NEVER = set("dr mr mrs ms mme mlle prof no nr nos vol p pp fig figs approx ca vs cf e.g i.e e.g. bzw z.b d.h u.a p.ex ул им рис табл см ок стр гл проф акад пл пр оз т.е т.к напр доц".split()) | {"डॉ", "श्री", "د", "أ", "p. ex"}
-MAY = set("etc usw a.m p.m u.s.w др пр руб мин сек тыс млн млрд км кг г.г т.д т.п и.т.д и.т.п jr sr inc ltd co st".split())
-# German words before an ordinal number.
-BEFORE_ORDINAL = set("am im den dem der die das des vom zum zur beim seit bis ab jeden jedes jeder".split())
+SAMPLE, MAX_WEIGHTS = 4000, 200_000
+#: Lines that are put together for training, and candidates of a chain; least count of a feature; pull of weights to 0; steps of a fit.
+LINES, CHAIN, SEEN, PULL, STEPS, QUANTILE = 12, 12, 8, (0.3, 2.0), 60, 0.1
 
 _OPENERS, _CLOSERS = "«„“‘\"「『（([{《〈【", "»”’\"」』）)]}》〉】"
 _PAIRS = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "{": "}", "《": "》", '"': '"'}
@@ -112,27 +116,42 @@ def _before(flat: str, i: int) -> tuple[str, str]:
     return token.replace(_UNSEEN, ""), flat[k:j].replace(_UNSEEN, "")
 
 
-@functools.lru_cache(1 << 16)
-def _kind_of(token: str, earlier: str) -> str:
-    """Kind of the word before a full stop."""
-    token, low_earlier = _known(token), _known(earlier).lower()
-    low = token.lower().strip("(")
-    if not low:
+_SCRIPTS = (("cyrillic", regex.compile(r"\p{Cyrillic}")), ("han", _UNSPACED_HAN), ("unspaced", _UNSPACED), ("devanagari", regex.compile(r"\p{Devanagari}")), ("arabic", regex.compile(r"\p{Arabic}")))
+
+
+@functools.lru_cache(1 << 12)
+def _script(ch: str) -> str:
+    return next((name for name, of in _SCRIPTS if of.match(ch)), "latin")
+
+
+def _script_before(line: str, i: int) -> str:
+    """Script of the nearest letter before ``i``."""
+    while i > 0:
+        i -= 1
+        if line[i].isalpha():
+            return _script(line[i])
+    return "latin"
+
+
+def _shape(token: str) -> str:
+    if not token:
         return "none"
-    if low in ("г", "гг"):
-        return "may" if low_earlier[-1:].isdigit() or low_earlier == "гг." else "never"
-    if low in ("д", "п") and low_earlier == "т.":
-        return "may"
-    if low == "д" or low in NEVER or f"{low_earlier.rstrip('.')}.{low}" in NEVER:
-        return "never"
-    if low in MAY or f"{low_earlier.rstrip('.')}.{low}" in MAY:
-        return "may"
-    if low.isdigit():
-        return "ordinal" if low_earlier in BEFORE_ORDINAL and len(low) < 3 else "number"
-    last = low.rsplit(".", 1)[-1]
+    if token.isdigit():
+        return f"digits{min(3, len(token))}"
+    last = token.rsplit(".", 1)[-1]
     if len(last) == 1 and last.isalpha():
-        return "initial" if token[-1].isupper() else "letter" if last.lower() != last.upper() else "word"
-    return "word"
+        return "upper1" if last.isupper() else "lower1" if last.islower() else "letter1"
+    if "." in token:
+        return "dotted"
+    return f"{'Word' if token[0].isupper() else 'word'}{min(5, len(token))}"
+
+
+@functools.lru_cache(1 << 16)
+def _words_before(token: str, earlier: str) -> tuple[str, str, str]:
+    """Token before a stop in lower case, its shape, and of the one before it what tells: itself, or that it is a number."""
+    token = _known(token).strip("(")
+    before = _known(earlier).lower()
+    return token.lower(), _shape(token), "9" if before[-1:].isdigit() else before
 
 
 def _next_kind(flat: str, i: int) -> tuple[str, bool]:
@@ -159,7 +178,7 @@ def _next_kind(flat: str, i: int) -> tuple[str, bool]:
 
 
 def candidates(line: str) -> list[tuple[int, tuple[str, ...]]]:
-    """Positions that may end a unit, with their description ``(mark, word before, next, quotes)``."""
+    """Positions that may end a unit, with their description ``(mark, next, quotes, script, token, shape, token before)``."""
     flat = _flat(line)
     at, depth, opener_of = _quotes(flat)
     m = _MARK.match(line)
@@ -191,8 +210,8 @@ def candidates(line: str) -> list[tuple[int, tuple[str, ...]]]:
         if opener_of and depth[bisect.bisect_right(at, k - 1) - 1] > 0:
             quotes = "inside"
         if blank or mark == "full" or follows == "end" or (quotes not in ("out", "inside") and k < n and _UNSPACED_HAN.match(line[k])):
-            kind = "-" if mark != "stop" else "mark" if start < mark_end else _kind_of(*_before(flat, start))
-            out.append((k - 1, (mark, kind, follows + ("" if blank else "+"), quotes)))
+            told = ("", "-", "") if mark != "stop" else ("", "opens", "") if start < mark_end else _words_before(*_before(flat, start))
+            out.append((k - 1, (mark, follows + ("" if blank else "+"), quotes, _script_before(line, start), *told)))
     if _UNSPACED.search(line):
         for b in _BLANK_RUN.finditer(line):
             left, right = b.start() - 1, b.end()
@@ -202,38 +221,22 @@ def candidates(line: str) -> list[tuple[int, tuple[str, ...]]]:
                 right += 1
             if _UNSPACED.match(line[left]) and _UNSPACED.match(line[right]):
                 inside = depth[bisect.bisect_right(at, b.start() - 1) - 1] > 0
-                out.append((b.start() - 1, ("blank", "-", "unspaced", "inside" if inside else "out")))
+                out.append((b.start() - 1, ("blank", "letter", "inside" if inside else "out", _script(line[left]), "", "-", "")))
         out = sorted(dict(out).items())
     return out
 
 
-def convention(d: tuple[str, ...]) -> bool:
-    """What the conventions of the scripts say of a candidate; labels of the training sample."""
-    mark, word, follows, quotes = d
-    if quotes == "inside":
-        return False
-    if mark == "blank" or follows.rstrip("+") == "end":
-        return True
-    goes_on = follows.rstrip("+") in ("lower", "dash", "mark")
-    if quotes == "own":
-        return not goes_on and follows != "letter+"
-    if quotes in ("led", "within"):
-        return not goes_on and (quotes == "led" or follows != "letter+")
-    if mark in ("full", "danda"):
-        return True
-    if mark == "more" and follows.endswith("+"):
-        return False
-    if mark == "stop" and word in ("never", "initial", "letter", "ordinal", "mark"):
-        return False
-    return not goes_on
-
-
 # ---- the model
 
 
 def features(d: tuple[str, ...]) -> list[str]:
-    mark, word, follows, quotes = d
-    return ["b", f"m={mark}", f"w={word}", f"f={follows}", f"q={quotes}", f"m={mark} f={follows}", f"m={mark} w={word}", f"q={quotes} f={follows}", f"m={mark} q={quotes}", "|".join(d)]
+    mark, follows, quotes, script, token, shape, before = d
+    out = ["b", f"m={mark}", f"f={follows}", f"q={quotes}", f"m={mark} f={follows}", f"m={mark} q={quotes}", f"q={quotes} f={follows}", f"m={mark} q={quotes} f={follows}", f"c={script} m={mark} q={quotes}", f"c={script} m={mark} f={follows}"]
+    if mark == "stop":
+        out += [f"s={shape}", f"s={shape} f={follows}", f"c={script} s={shape}", f"w={token}", f"w={token} f={follows}", f"w={token} {'9' if before == '9' else '-'} f={follows}"]
+        if not shape.lower().startswith("word"):
+            out += [f"s={shape} p={before}", f"w={token} p={before}", f"s={shape} p={before} f={follows}"]
+    return out
 
 
 def viterbi(scores: list[float], move: dict[str, float]) -> list[bool]:
@@ -252,15 +255,13 @@ def viterbi(scores: list[float], move: dict[str, float]) -> list[bool]:
     return [bool(t) for t in reversed(tags)]
 
 
-def _decode(described: list[tuple[str, ...]], w: dict[str, float]) -> list[bool]:
-    return viterbi([sum(w.get(f, 0.0) for f in features(d)) for d in described], w)
-
-
 def decoder(w: dict[str, float]):
-    """Decoding with fixed weights; descriptions are few, so their scores are kept."""
+    """Decoding with fixed weights; the scores of descriptions are kept."""
     scores: dict[tuple[str, ...], float] = {}
 
     def decode(described: list[tuple[str, ...]]) -> list[bool]:
+        if len(scores) > 1 << 17:
+            scores.clear()
         for d in described:
             if d not in scores:
                 scores[d] = sum(w.get(f, 0.0) for f in features(d))
@@ -269,74 +270,174 @@ def decoder(w: dict[str, float]):
     return decode
 
 
-def _moves(tags: list[bool]) -> Iterator[str]:
-    before = True
-    for t in tags:
-        yield f"t{int(before)}{int(t)}"
-        before = t
+# ---- training
 
 
-def stripped(line: str) -> str | None:
-    """A line of an unspaced script with blanks in place of its punctuation."""
-    return regex.sub(r"\s*\p{P}+\s*", " ", line).strip() if sum(1 for _ in _UNSPACED_HAN.finditer(line)) > len(line) / 2 else None
+_OPENING = regex.compile(r"^(?:\s|[-*•–—#>_]+(?=\s|\*)|\d{1,9}[.)](?=\s)|[\[(]?\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?[\])]?)+")
 
 
-def training_lines(texts: list[str]) -> list[tuple[list[tuple[str, ...]], list[bool]]]:
-    """Candidates and labels of each line of the sample, and of the stripped ones whose blanks were all left by stops, so all divide; others are left out."""
-    out = []
+def joined(lines: list[str]) -> tuple[str, set[int]]:
+    """Lines as one text, without the marks that open them, and the places of the characters that each but the last ended with."""
+    text, ends = lines[0].rstrip(), set()
+    for line in lines[1:]:
+        line = _OPENING.sub("", line).strip()
+        if line and text:
+            ends.add(len(text) - 1)
+            text += ("" if _UNSPACED_HAN.match(line[0]) or (text[-1] in _FULL + _CLOSERS and _UNSPACED_HAN.search(text[-3:])) else " ") + line
+        else:
+            text += line
+    return text, ends
+
+
+def stripped(line: str) -> tuple[str, set[int]]:
+    """A line of Han or Kana with a blank for each mark, and the places before the blanks that stand for full stops."""
+    out, stops = "", set()
+    for m in regex.finditer(r"(\s*\p{P}[\p{P}\s]*)|([^\p{P}]+)", line):
+        if m[2]:
+            out += m[2].strip()
+        elif out:
+            if set(m[1]) & set(_FULL):
+                stops.add(len(out) - 1)
+            out += " "
+    return out.rstrip(), stops
+
+
+def _closed(lines: list[str]) -> Iterable[list[str]]:
+    """Up to ``LINES`` lines in a row that end as sentences of their script do; headings and labels stand between them."""
+    part: list[str] = []
+    for line in lines:
+        last = _flat(line).replace(_UNSEEN, "").rstrip()[-1:]
+        if last and (last in _END or last in _CLOSERS or _UNSPACED.match(last)):
+            part.append(line)
+        if part and (len(part) == LINES or part[-1] is not line):
+            yield part
+            part = []
+    if part:
+        yield part
+
+
+Chain = tuple[list[tuple[str, ...]], list[bool], bool]
+
+
+def training_lines(texts: Iterable[str]) -> list[Chain]:
+    """Candidates of the texts, whether a line or text ended at each, and whether all others are known to be inside."""
+    out: list[Chain] = []
+    by: dict[str, list[str]] = {}
     for text in texts:
-        for line in _LINE.findall(text):
-            d = [x for _, x in candidates(line)]
-            out.append((d, [convention(x) for x in d]))
-            if bare := stripped(line):
-                ends = regex.sub(r"\s*\p{P}+\s*", lambda m: "\n" if set(m[0]) & set(_FULL) else " ", line).strip()
-                blanks = [c == "\n" for c in ends if c in "\n "]
-                if bare and all(blanks):
-                    out.append(([("blank", "-", "unspaced", "out")] * len(blanks), blanks))
-    return out
-
-
-def _every_description() -> Iterator[tuple[str, ...]]:
-    for mark, words in (("stop", ("word", "may", "never", "initial", "letter", "number", "ordinal", "mark", "none")), ("ask", "-"), ("more", "-"), ("full", "-"), ("danda", "-")):
-        for word in words:
-            for follows in ("upper", "lower", "digit", "letter", "opened", "dash", "mark", "end"):
-                for blank in ("", "+") if mark in ("full", "more", "danda") or follows == "end" else ("",):
-                    for quotes in ("out", "inside", "own", "led", "within"):
-                        yield (mark, word, follows + blank, quotes)
-    yield ("blank", "-", "unspaced", "out")
-    yield ("blank", "-", "unspaced", "inside")
-
-
-def train(lines: list[tuple[list[tuple[str, ...]], list[bool]]], rounds: int = 30) -> dict[str, float]:
-    """Averaged structured perceptron; the same lines give the same weights."""
-    w: dict[str, float] = {}
-    total: dict[str, float] = {}
-    step = 0
-    # Descriptions that the sample doesn't show are learnt from lines of their own, after either tag.
-    for before in (("stop", "never", "lower", "out"), ("stop", "word", "upper", "out")):
-        lines = [*lines, *(([before, d], [convention(before), convention(d)]) for d in _every_description())]
-    for _ in range(rounds):
-        wrong = 0
-        for described, tags in lines:
-            step += 1
-            # The right tags must win by a margin, so each wrong one gets a bonus here.
-            got = viterbi([sum(w.get(f, 0.0) for f in features(d)) + (-MARGIN if t else MARGIN) for d, t in zip(described, tags, strict=True)], w)
-            if got != tags:
-                wrong += 1
-                changes: dict[str, float] = {}
-                for d, t, g in zip(described, tags, got, strict=True):
-                    if t != g:
-                        for f in features(d):
-                            changes[f] = changes.get(f, 0.0) + (1.0 if t else -1.0)
-                for sign, path in ((1.0, tags), (-1.0, got)):
-                    for f in _moves(path):
-                        changes[f] = changes.get(f, 0.0) + sign
-                for f, c in changes.items():
-                    w[f] = w.get(f, 0.0) + c
-                    total[f] = total.get(f, 0.0) + c * step
-        if not wrong:
-            return {f: x for f, x in w.items() if x}
-    return {f: x - total[f] / (step + 1) for f, x in w.items() if x or total[f]}
+        lines = [x for x in _LINE.findall(text) if x.strip()]
+        if lines:
+            by.setdefault(_script_before(lines[0], len(lines[0])), []).extend(lines)
+    for lines in by.values():
+        for part in _closed(lines):
+            whole, ends = joined(part)
+            found = [(i, d) for i, d in candidates(whole) if not d[1].startswith("end")]
+            out += [([d for _, d in found[b : b + CHAIN]], [i in ends for i, _ in found[b : b + CHAIN]], False) for b in range(0, len(found), CHAIN)]
+        for line in lines:
+            if sum(1 for _ in _UNSPACED_HAN.finditer(line)) > len(line) / 2:
+                bare, stops = stripped(line)
+                at = [i - 1 for i, c in enumerate(bare) if c == " "]
+                out += [([("blank", "letter", "out", "stripped", "", "-", "")] * len(at[b : b + CHAIN]), [i in stops for i in at[b : b + CHAIN]], True) for b in range(0, len(at), CHAIN)]
+    return [x for x in out if x[0]]
+
+
+class _Chains:
+    """Training chains as arrays: features of each kind of candidate, chains padded to one length, places first."""
+
+    def __init__(self, lines: list[Chain]):
+        described = [d for ds, _, _ in lines for d in ds]
+        kinds = {d: k for k, d in enumerate(dict.fromkeys(described))}
+        count: Counter = Counter()
+        for d, n in Counter(described).items():
+            for f in features(d):
+                count[f] += n
+        self.names = [f for f, n in count.items() if n >= SEEN]
+        number = {f: k for k, f in enumerate(self.names)}
+        self.pull = np.array([PULL[f[0] == "w"] for f in self.names])  # of a word's own features more than of the others
+        most = max((len(features(d)) for d in kinds), default=1)
+        self.features = np.full((len(kinds), most), len(self.names), dtype=np.int64)  # the last is no feature
+        for d, k in kinds.items():
+            own = [number[f] for f in features(d) if f in number]
+            self.features[k, : len(own)] = own
+        n, t = len(lines), max((len(x[0]) for x in lines), default=1)
+        self.kind = np.zeros((t, n), dtype=np.int64)
+        self.there, self.broke, self.sure = np.zeros((t, n), dtype=bool), np.zeros((t, n), dtype=bool), np.zeros(n, dtype=bool)
+        for i, (ds, breaks, sure) in enumerate(lines):
+            self.kind[: len(ds), i] = [kinds[d] for d in ds]
+            self.there[: len(ds), i] = True
+            self.broke[: len(ds), i] = breaks
+            self.sure[i] = sure
+        scripts = [d[3] for d in kinds]
+        self.scripts = sorted(set(scripts))
+        self.script = np.array([self.scripts.index(x) for x in scripts] or [0])[self.kind]
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.r_[w, 0.0][self.features].sum(axis=1)[self.kind]
+
+    def gradient(self, each: np.ndarray) -> np.ndarray:
+        """Sum over candidates of ``each`` for each feature."""
+        kinds = np.bincount(self.kind[self.there], weights=each[self.there], minlength=len(self.features))
+        return np.bincount(self.features.ravel(), weights=np.repeat(kinds, self.features.shape[1]), minlength=len(self.names) + 1)[:-1]
+
+
+def _marginals(inside: np.ndarray, boundary: np.ndarray, move: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of the boundary tag at each place, and summed probabilities of each move, by forward and backward passes over all chains; places come first."""
+    t, n = boundary.shape
+    top = np.maximum(inside, boundary)
+    e = np.stack([np.exp(inside - top), np.exp(boundary - top)], axis=2)
+    m = np.exp(move - move.max())
+    forward = np.empty((t + 1, n, 2))
+    forward[0] = (0.0, 1.0)  # a chain begins after a boundary
+    for i in range(t):
+        new = (forward[i] @ m) * e[i]
+        new /= new.sum(axis=1, keepdims=True)
+        forward[i + 1] = np.where(there[i, :, None], new, forward[i])
+    p, moves, back = np.empty((t, n)), np.zeros((2, 2)), np.ones((n, 2))
+    for i in range(t - 1, -1, -1):
+        both = forward[i + 1] * back
+        p[i] = both[:, 1] / both.sum(axis=1)
+        after = e[i] * back
+        new = after @ m.T
+        z = (forward[i] * new).sum(axis=1)
+        moves += m * ((forward[i] * (there[i] / z)[:, None]).T @ after)
+        new /= new.sum(axis=1, keepdims=True)
+        back = np.where(there[i, :, None], new, back)
+    return p, moves
+
+
+def _fit(chains: _Chains, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, moves and boundary probabilities that maximise the likelihood of the breaks; ``share``: of boundaries that are breaks, by script."""
+    w, move = np.zeros(len(chains.names)), np.zeros((2, 2))
+    first, second, p = np.zeros(len(w) + 4), np.zeros(len(w) + 4), np.zeros(chains.kind.shape)
+    # What a place's break, or its lack, says of its tag: a break is a boundary, none leaves the boundary its remaining share.
+    unbroken = np.log(np.maximum(1 - np.where(chains.sure, 1.0, share[chains.script]), 1e-9))
+    inside, boundary = np.where(chains.broke, -40.0, 0.0), np.where(chains.broke, 0.0, unbroken)
+    none = np.zeros_like(boundary)
+    for step in range(1, STEPS + 1):
+        score = chains.scores(w)
+        p, moves = _marginals(none, score, move, chains.there)
+        seen, seen_moves = _marginals(inside, score + boundary, move, chains.there)
+        g = np.r_[chains.gradient(seen - p) - chains.pull * w, (seen_moves - moves).ravel() - PULL[0] * move.ravel()]
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        change = 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        w += change[:-4]
+        move += change[-4:].reshape(2, 2)
+    return w, move, p
+
+
+def train(lines: list[Chain]) -> dict[str, float]:
+    """Weights of features and moves; the same lines give the same weights, none give none."""
+    if not lines:
+        return {}
+    chains = _Chains(lines)
+    # First as if every boundary were a break: the middle probability at breaks is the share of boundaries that are.
+    _, _, p = _fit(chains, np.full(len(chains.scripts), 1 - 1e-9))
+    own = chains.broke & ~chains.sure
+    every = np.quantile(p[own], QUANTILE) if own.any() else 1.0
+    by = [p[own & (chains.script == k)] for k in range(len(chains.scripts))]
+    share = np.clip([np.quantile(x, QUANTILE) if len(x) >= 20 else every for x in by], 0.02, 0.98)
+    w, move, _ = _fit(chains, share)
+    moves = {f"t{a}{b}": float(move[a, b]) for a in (0, 1) for b in (0, 1)}
+    return {f: float(x) for f, x in zip(chains.names, w, strict=True) if abs(x) > 1e-6} | moves
 
 
 # ---- the plan
@@ -348,7 +449,11 @@ def units(text: str | None, decode) -> list[tuple[int, int]]:
     for m in _LINE.finditer(text or ""):
         line, at = m[0], m.start()
         found = candidates(line)
-        tags = decode([d for _, d in found])
+        # What ends with the line needs no tag.
+        found = [(i, d) for i, d in found if not d[1].startswith("end") or d[2] != "inside"]
+        inner = [(i, d) for i, d in found if not d[1].startswith("end")]
+        cut = dict(zip((i for i, _ in inner), decode([d for _, d in inner]), strict=True))
+        tags = [cut.get(i, True) for i, _ in found]
         start = 0
         for end in [*(i + 1 for (i, _), t in zip(found, tags, strict=True) if t), len(line)]:
             part = line[start:end]
