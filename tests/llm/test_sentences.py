@@ -95,7 +95,7 @@ def test_viterbi_and_marginals_against_all_paths():
         move = {k: r.uniform(-2, 2) for k in ("t00", "t01", "t10", "t11")}
 
         def total(tags):
-            return sum(s for s, t in zip(scores, tags) if t) + sum(move[f"t{a}{b}"] for a, b in zip((1, *tags), tags))
+            return sum(s for s, t in zip(scores, tags) if t) + sum(move[f"t{a}{b}"] for a, b in zip((1, *map(int, tags)), map(int, tags)))
 
         paths = list(itertools.product([0, 1], repeat=len(scores)))
         assert abs(total(sentences.viterbi(scores, move)) - max(map(total, paths))) < 1e-9

@@ -470,15 +470,20 @@ class _Wholes:
         total = np.stack([vectors[_buckets(texts[k])].sum(axis=0) for k in own])
         self.index = Index(total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12), cosine)
 
-    def near(self, part: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of windows in a stretch of one document, by the running sums of its vectors, and items near them."""
-        width = min(self.width, len(part))
-        starts = np.arange(0, len(part) - width + self.step, self.step)
-        starts = np.minimum(starts, len(part) - width)
-        x = sums[starts + width] - sums[starts]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        i, j = self.index.near(x.astype(np.float32))
-        return starts[i], self.own[j]
+    def near(self, sums: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces, places of their windows and items near these, by the running sums of the vectors of pieces that begin at ``low``."""
+        width = np.minimum(self.width, size)
+        n = (size - width + self.step - 1) // self.step + 1
+        piece = np.repeat(np.arange(len(low)), n)
+        at = np.minimum((np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)) * self.step, (size - width)[piece]) + low[piece]
+        out = []
+        for a in range(0, len(at), CHUNK):
+            part = at[a : a + CHUNK]
+            x = sums[part + width[piece[a : a + CHUNK]]] - sums[part]
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            i, j = self.index.near(x.astype(np.float32))
+            out.append((piece[a + i], part[i], self.own[j]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def wholes_of(texts: list[np.ndarray], vectors: np.ndarray, cosine: float = NEAR) -> list[_Wholes]:
@@ -488,18 +493,33 @@ def wholes_of(texts: list[np.ndarray], vectors: np.ndarray, cosine: float = NEAR
     return [_Wholes(texts, own, width, vectors, cosine) for width, own in sorted(widths.items())]
 
 
-def _near_items(doc: np.ndarray, index: list[_Wholes], vectors: np.ndarray) -> dict[int, list[np.ndarray]]:
-    """By item, the places in a document of windows near to it."""
-    out: dict[int, list[np.ndarray]] = {}
-    for w in index:
-        for a in range(0, max(1, len(doc) - min(len(doc), w.width) + 1), CHUNK):
-            part = doc[a : a + CHUNK + w.width]
-            sums = np.zeros((len(part) + 1, vectors.shape[1]))
-            np.cumsum(vectors[_buckets(part)], axis=0, out=sums[1:])
-            at, item = w.near(part, sums)
-            for k in np.unique(item).tolist():
-                out.setdefault(k, []).append(at[item == k] + a)
-    return out
+def _near_items(values: np.ndarray, first: np.ndarray, index: list[_Wholes], vectors: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Documents (which begin at ``first``), items and the sorted places of windows near to these, by document."""
+    widest = max(w.width for w in index)
+    pieces = [(d, a, min(a + CHUNK + widest, int(first[d + 1]))) for d in range(len(first) - 1) for a in range(int(first[d]), max(int(first[d]) + 1, int(first[d + 1]) - widest), CHUNK)]
+    i = 0
+    while i < len(pieces):
+        e = i + 1
+        # The pieces of a document stay together.
+        while e < len(pieces) and (pieces[e][2] - pieces[i][1] <= 2 * CHUNK or pieces[e][0] == pieces[e - 1][0]):
+            e += 1
+        doc, low, high = (np.array(c) for c in zip(*pieces[i:e], strict=True))
+        found = []
+        for g in range(0, len(doc), max(1, len(doc) if high[-1] - low[0] <= 2 * CHUNK else 1)):
+            h = len(doc) if high[-1] - low[0] <= 2 * CHUNK else g + 1
+            base = int(low[g])
+            sums = np.zeros((int(high[h - 1]) - base + 1, vectors.shape[1]))
+            np.cumsum(vectors[_buckets(values[base : int(high[h - 1])])], axis=0, out=sums[1:])
+            for w in index:
+                piece, at, item = w.near(sums, low[g:h] - base, high[g:h] - low[g:h])
+                found.append((doc[g + piece], item, at + base))
+        d, k, at = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((at, k, d))
+        d, k, at = d[order], k[order], at[order]
+        edges = np.r_[0, np.flatnonzero((np.diff(d) != 0) | (np.diff(k) != 0)) + 1, len(d)] if len(d) else np.zeros(1, dtype=np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(d[a]), int(k[a]), at[a:b] - first[d[a]]
+        i = e
 
 
 def _scored(doc: np.ndarray, text: np.ndarray, at: dict[int, int], answers: np.ndarray, near: np.ndarray, width: int) -> tuple[float, float] | None:
@@ -557,15 +577,16 @@ def _paraphrases_of(docs: DataFrame, shared, score: float, kind: str) -> DataFra
         width = {int(k): w.width for w in index for k in w.own}
         places: dict[int, dict[int, int]] = {}
         out: dict[str, list] = {"doc_id": [], "item_id": [], "common": [], "answers": []}
-        for doc_id, words in zip(b.column("doc_id").to_pylist(), b.column("words"), strict=True):
-            doc = words.values.to_numpy(zero_copy_only=False)
-            for k, near in _near_items(doc, index, vectors).items():
-                if k not in places:
-                    places[k] = _places(texts[k].tolist())
-                got = _scored(doc, texts[k], places[k], answers[k], np.concatenate(near), width[k])
-                if got and (1 - ANSWERS) * got[0] + ANSWERS * got[1] >= score - 1e-9:
-                    for column, x in zip(out.values(), (doc_id, ids[k], *got), strict=True):
-                        column.append(x)
+        values, row = _flat(b)
+        doc_ids = b.column("doc_id").to_pylist()
+        first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
+        for d, k, near in _near_items(values, first, index, vectors):
+            if k not in places:
+                places[k] = _places(texts[k].tolist())
+            got = _scored(values[first[d] : first[d + 1]], texts[k], places[k], answers[k], near, width[k])
+            if got and (1 - ANSWERS) * got[0] + ANSWERS * got[1] >= score - 1e-9:
+                for column, x in zip(out.values(), (doc_ids[d], ids[k], *got), strict=True):
+                    column.append(x)
         return out
 
     return map_batches(docs, look, kind)
