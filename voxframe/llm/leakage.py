@@ -386,7 +386,6 @@ def _in_common(at: dict[int, int], n: int, b: list[int]) -> int:
 def _best_stretch(doc: list[int], own: np.ndarray, begins: np.ndarray, at: dict[int, int], n: int, least: int) -> tuple[int, int]:
     """Greatest common subsequence with a stretch of twice ``n`` words at one of ``begins``, of at least ``least``, and its begin; ``own``: how many of the item's words come before each place."""
     length, best, where, b, need = min(2 * n, len(doc)), 0, -1, 0, least
-    begins = begins[own[begins + length] - own[begins] >= need]
     while b < len(begins) and need <= n:
         begin = int(begins[b])
         common = _in_common(at, n, doc[begin : begin + length])
@@ -522,29 +521,32 @@ def _near_items(values: np.ndarray, first: np.ndarray, index: list[_Wholes], vec
         i = e
 
 
-def _scored(doc: np.ndarray, text: np.ndarray, at: dict[int, int], answers: np.ndarray, near: np.ndarray, width: int) -> tuple[float, float] | None:
-    """Share of the item in common with the best stretch that holds a window at one of the sorted places ``near``, and share of its answers there."""
+def _scored(doc: np.ndarray, own: np.ndarray, text: np.ndarray, at: dict[int, int], answers: np.ndarray, near: np.ndarray, width: int) -> tuple[float, float] | None:
+    """Share of the item in common with the best stretch that holds a window at one of the sorted places ``near``, and share of its answers there; ``own``: how many of the item's words come before each place."""
     n = len(text)
     least = int(np.ceil(n * (SCORE - ANSWERS) / (1 - ANSWERS) - 1e-9))
     length = min(2 * n, len(doc))
     # Begins of stretches that hold a whole window, as bounds of their runs.
     low, high = np.maximum(near + min(width, len(doc)) - length, 0), np.minimum(near, len(doc) - length)
-    lo, hi = int(low.min()), int(high.max()) + length
-    part = doc[lo:hi]
-    own = np.zeros(len(part) + 1, dtype=np.int64)
-    np.cumsum(np.isin(part, text), out=own[1:])
-    if own[-1] < least:
+    lo, hi = int(low[0]), int(high[-1]) + length
+    if own[hi] - own[lo] < least:
+        return None
+    part, own = doc[lo:hi], own[lo : hi + 1]
+    if hi - lo == length:
+        begins = np.zeros(1, dtype=np.int64)
+    else:
+        mark = np.zeros(hi - lo - length + 2, dtype=np.int64)
+        np.add.at(mark, low - lo, 1)
+        np.add.at(mark, high - lo + 1, -1)
+        begins = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    begins = begins[own[begins + length] - own[begins] >= max(1, least)]
+    if not len(begins):
         return None
-    mark = np.zeros(len(part) - length + 2, dtype=np.int64)
-    ok = low <= high
-    np.add.at(mark, low[ok] - lo, 1)
-    np.add.at(mark, high[ok] - lo + 1, -1)
-    begins = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
     words = part.tolist()
     common, begin = _best_stretch(words, own, begins, at, n, max(1, least))
     if begin < 0:
         return None
-    held = float(np.isin(answers, part[begin : begin + length]).mean()) if len(answers) else common / n
+    held = len(set(answers.tolist()).intersection(words[begin : begin + length])) / len(answers) if len(answers) else common / n
     return common / n, held
 
 
@@ -576,14 +578,25 @@ def _paraphrases_of(docs: DataFrame, shared, score: float, kind: str) -> DataFra
         vectors, index, ids, texts, answers = shared.value
         width = {int(k): w.width for w in index for k in w.own}
         places: dict[int, dict[int, int]] = {}
+        words: dict[int, np.ndarray] = {}
+        vocabulary = np.unique(np.concatenate(texts))
+        mine = np.zeros(len(vocabulary) + 1, dtype=bool)
         out: dict[str, list] = {"doc_id": [], "item_id": [], "common": [], "answers": []}
         values, row = _flat(b)
         doc_ids = b.column("doc_id").to_pylist()
         first = np.searchsorted(row, np.arange(len(doc_ids) + 1))
+        word = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+        word[vocabulary[word] != values] = len(vocabulary)
         for d, k, near in _near_items(values, first, index, vectors):
             if k not in places:
                 places[k] = _places(texts[k].tolist())
-            got = _scored(values[first[d] : first[d + 1]], texts[k], places[k], answers[k], near, width[k])
+                words[k] = np.searchsorted(vocabulary, np.unique(texts[k]))
+            here = slice(first[d], first[d + 1])
+            mine[words[k]] = True
+            own = np.zeros(first[d + 1] - first[d] + 1, dtype=np.int64)
+            mine[word[here]].cumsum(out=own[1:])
+            mine[words[k]] = False
+            got = _scored(values[here], own, texts[k], places[k], answers[k], near, width[k])
             if got and (1 - ANSWERS) * got[0] + ANSWERS * got[1] >= score - 1e-9:
                 for column, x in zip(out.values(), (doc_ids[d], ids[k], *got), strict=True):
                     column.append(x)
