@@ -2,61 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OUT = "rec_id long, chunk int, start_sec double, end_sec double"
+from voxframe.functions.arrow import map_group
+from voxframe.operators import sequence
+
+_WHOLE = "rec_id long, start_sec double, end_sec double"
+SHARD_S = 600
+
+
+def _gather(longest: float, enough: float, least: float):
+    def run(group: dict) -> dict:
+        order = np.lexsort((group["e"], group["s"]))
+        s, e = (np.array(group[c], dtype=np.float64)[order] for c in ("s", "e"))
+
+        def breaks(head: int, a: int, b: int) -> np.ndarray:
+            before, after = e[a - 1 : b - 1] - s[head], e[a:b] - s[head]
+            return (before == 0) | ((before > least) & ((after > longest) | (before > enough)))
+
+        first = np.array(sequence.heads(len(s), breaks))
+        last = np.r_[first[1:], len(s)] - 1
+        return {"rec_id": group["rec_id"][:1] * len(first), "start_sec": s[first].tolist(), "end_sec": e[last].tolist()}
+
+    return run
 
 
 def speech_chunks(spans: DataFrame, longest: float = 22.0, enough: float = 15.0, strict: float = 30.0, least: float = 0.2) -> DataFrame:
     """``rec_id, chunk, start_sec, end_sec`` from ``rec_id, start_sec, end_sec, total`` (``total``: length, or null).
 
-    Spans are taken in order of start. A chunk longer than ``least`` is closed before a span that would carry it
-    beyond ``longest``, or once it is longer than ``enough``; one beyond ``strict`` is cut evenly; a last one of
-    at most ``least`` is dropped. Each step depends on all before it, so a recording is one ordered stream; it is
-    folded batch by batch with a state of three numbers and never held in memory.
+    Spans are taken in order of start. A chunk longer than ``least`` ends before a span that would carry it beyond
+    ``longest``, or once it is longer than ``enough``; one beyond ``strict`` is cut evenly; those of at most ``least``
+    are dropped. Where a span of more than ``least`` is followed by one that ends more than ``longest`` after it
+    began, no chunk can cross; recordings are cut there, and each part is gathered on its own.
     """
     rows = spans.where("start_sec is not null and end_sec is not null").select(
         "rec_id", F.greatest(F.lit(0.0), "start_sec").alias("s"), F.least("end_sec", F.coalesce("total", "end_sec")).alias("e")
     )
-    rows = rows.repartition("rec_id").sortWithinPartitions("rec_id", "s", "e")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rec, start, end, held, n = None, 0.0, 0.0, 0.0, 0
-        out: list[tuple] = []
-
-        def close() -> None:
-            nonlocal n
-            k = int(held / strict) + 1 if held > strict else 1
-            step = held / k
-            for i in range(k):
-                out.append((rec, n, start + i * step, end if k == 1 else start + (i + 1) * step))
-                n += 1
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            out.clear()
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["rec_id", "chunk", "start_sec", "end_sec"])
-
-        for b in batches:
-            for r, s, e in zip(*(b.column(c).to_pylist() for c in ("rec_id", "s", "e")), strict=True):
-                if r != rec:
-                    if held > least:
-                        close()
-                    rec, held, n = r, 0.0, 0
-                if held == 0.0:
-                    start = s
-                elif held > least and (held + (e - end) > longest or held > enough):
-                    close()
-                    start = s
-                end, held = e, e - start
-            yield flush()
-        if held > least:
-            close()
-        yield flush()
-
-    return rows.mapInArrow(run, _OUT)
+    rows = rows.withColumns({"shard": F.floor(F.col("s") / SHARD_S), "own": F.struct("s", "e")})
+    rows = sequence.previous(rows, ["rec_id"], "shard", ["s", "e"], "own", "before")
+    cut = F.col("before").isNull() | ((F.col("e") - F.col("before.s") > longest) & (F.col("before.e") - F.col("before.s") > least))
+    rows = sequence.filled(rows.withColumn("part", F.when(cut, F.col("own"))), ["rec_id"], "shard", ["s", "e"], "part")
+    whole = map_group(rows.select("rec_id", "part", "s", "e"), ["rec_id", "part"], _gather(longest, enough, least), _WHOLE)
+    held = F.col("end_sec") - F.col("start_sec")
+    whole = whole.where(held > least).withColumn("k", F.when(held > strict, F.floor(held / strict) + 1).otherwise(1))
+    cuts = whole.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int")))).withColumn("step", held / F.col("k"))
+    ends = F.when(F.col("k") == 1, F.col("end_sec")).otherwise(F.col("start_sec") + (F.col("i") + 1) * F.col("step"))
+    out = cuts.select("rec_id", (F.col("start_sec") + F.col("i") * F.col("step")).alias("from_sec"), ends.alias("end_sec")).withColumnRenamed("from_sec", "start_sec")
+    out = sequence.numbered(out.withColumn("shard", F.floor(F.col("start_sec") / SHARD_S)), ["rec_id"], "shard", ["start_sec", "end_sec"], "chunk")
+    return out.select("rec_id", (F.col("chunk") - 1).alias("chunk"), "start_sec", "end_sec")
