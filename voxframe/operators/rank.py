@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from voxframe.functions import text as X
 
 # Latin words that are right as they stand, and fillers of speech.
-LATIN_OK = (
-    "llm gpt mcp http https api ai rag ci cd ui ux sql json yaml xml html css js ts url pdf csv gpu cpu ram sdk ide os vpn dns ssh tls jwt "
-    "gigachat github openai docker kubernetes python java go react typescript linux windows macos ios android aws"
-).split()
-FILLERS = "ну вот это как бы типа щас че чё ага угу мм хмм нда э эм а и но да нет так там то".split()
+LATIN_OK = [
+    "llm", "gpt", "mcp", "http", "https", "api", "ai", "rag", "ci", "cd", "ui", "ux", "sql", "json", "yaml", "xml", "html", "css", "js", "ts", "url", "pdf", "csv",
+    "gpu", "cpu", "ram", "sdk", "ide", "os", "vpn", "dns", "ssh", "tls", "jwt", "gigachat", "github", "openai", "docker", "kubernetes", "python", "java", "go", "react",
+    "typescript", "linux", "windows", "macos", "ios", "android", "aws",
+]
+FILLERS = [
+    "ну", "вот", "это", "как", "бы", "типа", "щас", "че", "чё", "ага", "угу", "мм", "хмм", "нда", "э", "эм", "а", "и", "но", "да", "нет", "так", "там", "то",
+]
 
 
 def cuts(words: DataFrame, by: list[str], low: float = 0.15, very_low: float = 0.05) -> DataFrame:
@@ -37,8 +40,8 @@ def variants(words: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by, "skeleton").agg(F.sort_array(F.collect_set("v")).alias("variants")).where("size(variants) > 1")
 
 
-def signals(words: DataFrame, english: list[str] = ()) -> DataFrame:
-    """``words`` (core, conf, canonical, reason, low_cut, very_low_cut) with ``score`` and ``signals``; 0 and none where unsuspicious."""
+def signals(words: DataFrame) -> DataFrame:
+    """``words`` (core, conf, canonical, reason, low_cut, very_low_cut; ``listed``: in a word list, if there is one) with ``score`` and ``signals``; 0 and none where unsuspicious."""
     core, low = F.col("core"), X.lower_ru(F.col("core"))
     suggest = F.col("reason").startswith("suggest:")
     skipped = low.isin(FILLERS) | (F.length(core) < 4) | (F.col("canonical").isNotNull() & ~suggest)
@@ -46,7 +49,7 @@ def signals(words: DataFrame, english: list[str] = ()) -> DataFrame:
     parts = F.filter(F.split(core, "[-–—]"), lambda p: p != "")
     acronym = F.exists(parts, lambda p: p.rlike("^[A-Za-z]+$") & ~X.lower_ru(p).isin(LATIN_OK))
     latin = ~mixed & core.rlike(r"^[A-Za-z][A-Za-z.-]*$") & ~low.isin(LATIN_OK)
-    unlisted = latin & ~low.isin(list(english)) if english else latin
+    unlisted = latin & ~F.col("listed") if "listed" in words.columns else latin
     homoglyph = mixed & X.mixes_alphabets(core)
     very = F.coalesce(F.col("conf") <= F.col("very_low_cut"), F.lit(False))
     weak = F.coalesce(F.col("conf") <= F.col("low_cut"), F.lit(False))
@@ -57,24 +60,27 @@ def signals(words: DataFrame, english: list[str] = ()) -> DataFrame:
     return words.withColumns({"score": F.when(skipped, 0).otherwise(score), "signals": F.when(skipped, empty).otherwise(found)})
 
 
-def suspicious(words: DataFrame, matches: DataFrame, budget: int = 40, english: list[str] = ()) -> DataFrame:
+def suspicious(words: DataFrame, matches: DataFrame, budget: int = 40, english: DataFrame | None = None) -> DataFrame:
     """The ``budget`` most suspicious spellings of each transcript.
 
-    ``words``: rec_id, engine, word_id, start_sec, text, conf; ``matches``: core, canonical, reason of the lexicon.
-    A spelling keeps its first word's score; more counts, then the earlier start, come first among equals.
+    ``words``: rec_id, engine, word_id, seg_id, pos, start_sec, text, conf, core; ``matches``: core, canonical, reason of the
+    lexicon; ``english``: word, a word list. A spelling keeps its first word's score; more counts, then the earlier start,
+    come first among equals.
     """
     by = ["rec_id", "engine"]
-    rows = words.withColumn("core", X.core(F.col("text"))).where("core <> ''")
-    rows = rows.join(matches, "core", "left").withColumn("reason", F.coalesce("reason", F.lit("")))
-    rows = signals(rows.join(cuts(words, by), by, "left"), english).where("score > 0").withColumn("skeleton", X.consonants(F.col("core")))
-    rows = rows.join(variants(words.withColumn("core", X.core(F.col("text"))), by), [*by, "skeleton"], "left")
+    rows = words.where("core <> ''").join(matches, "core", "left").withColumn("reason", F.coalesce("reason", F.lit("")))
+    if english is not None:
+        listed = english.select(F.lower(F.trim(english.columns[0])).alias("_low")).distinct().withColumn("listed", F.lit(True))
+        rows = rows.withColumn("_low", X.lower_ru(F.col("core"))).join(listed, "_low", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    rows = signals(rows.join(cuts(words, by), by, "left")).where("score > 0").withColumn("skeleton", X.consonants(F.col("core")))
+    rows = rows.join(variants(words, by), [*by, "skeleton"], "left")
     rows = rows.withColumns({
         "score": F.col("score") + F.when(F.col("variants").isNotNull(), 3).otherwise(0),
         "signals": F.when(F.col("variants").isNotNull(), F.concat("signals", F.array(F.lit("V")))).otherwise(F.col("signals")),
         "variants": F.coalesce("variants", F.array().cast("array<string>")),
         "key": X.lower_ru(F.col("core")),
     })
-    first = F.min_by(F.struct("start_sec", "core", "conf", "score", "signals", "variants"), F.struct("start_sec", "word_id"))
+    first = F.min_by(F.struct("start_sec", "core", "conf", "score", "signals", "variants"), F.struct("start_sec", "word_id", "seg_id", "pos"))
     each = rows.groupBy(*by, "key").agg(first.alias("f"), F.count("*").alias("count")).select(*by, "key", "f.*", "count")
     w = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("count"), "start_sec", "key")
     ranked = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= budget)

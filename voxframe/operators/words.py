@@ -57,6 +57,19 @@ def transcript_words(segments: DataFrame, words: DataFrame) -> DataFrame:
     return t.select(*cols, none.alias("seg_start"), none.alias("seg_end")).unionByName(bare.select(*cols, "seg_start", "seg_end"))
 
 
+def said(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Every word with text: ``rec_id, engine, word_id, seg_id, pos, start_sec, text, conf``, timed or not.
+
+    A word without a start takes its segment's; a segment without words gives the pieces of its text, with its start and confidence.
+    """
+    bounds = segments.select("seg_id", F.col("start_sec").alias("_start"))
+    own = words.where("text is not null").join(bounds, "seg_id", "left")
+    own = own.select("rec_id", "engine", "word_id", "seg_id", F.col("word_idx").alias("pos"), F.coalesce("start_sec", "_start").alias("start_sec"), "text", "conf")
+    bare = segments.where("text is not null").join(words.select("seg_id").distinct(), "seg_id", "left_anti")
+    bare = bare.select("rec_id", "engine", F.lit(None).cast("long").alias("word_id"), "seg_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("pos", "piece"), "start_sec", "conf")
+    return own.unionByName(bare.withColumnRenamed("piece", "text"))
+
+
 def between(words: DataFrame, start: Column, end: Column) -> DataFrame:
     """Words whose midpoint lies in the closed interval."""
     return words.where(((F.col("start_sec") + F.col("end_sec")) / 2).between(start, end))

@@ -7,7 +7,7 @@ _S = "s as (select distinct seg_id, rec_id, engine, seg_idx, start_sec, end_sec,
 _FOLD = "list_aggregate(list_transform(str_split({0}, ''), lambda c: case when unicode(c) between 65281 and 65374 then chr(unicode(c) - 65248) else c end), 'string_agg', '')"
 _KEY = "regexp_replace(replace(lower(nfc_normalize(" + _FOLD.format("text") + ")), 'ё', 'е'), '[^\\p{L}\\p{N}]+', '', 'g')"
 _TIMED = (
-    "t as (select word_id, rec_id, engine, seg_id, word_idx, start_sec, coalesce(end_sec, start_sec) as end_sec, " + _KEY + " as key from w "
+    "t as (select word_id, rec_id, engine, seg_id, word_idx, start_sec, coalesce(end_sec, start_sec) as end_sec, text, " + _KEY + " as key from w "
     "where start_sec >= 0 and text is not null and coalesce(end_sec, start_sec) >= start_sec)"
 )
 _EDGE = "[«»\"''()\\[\\]{}.,;:!?…\\-—–]*"
