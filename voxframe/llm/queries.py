@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxframe.llm import leakage, nearest, packing, sentences, terms, textform, turns
+from voxframe.llm.sql import SQL
 from voxframe.sources.tables import table
 
 
@@ -57,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
