@@ -61,3 +61,10 @@ def test_plan(spark):
     stats = packing.unused_space(packing.sequences(df, capacity=512), 512).first()
     assert stats.fullest <= 512 and stats.least_possible == least
     assert packing.sequences(df.where("false")).count() == 0
+
+
+def test_repair_looks_at_all_windows():
+    # Only the fullest of 200 windows with room can take part in the one swap that fits.
+    windows = [[0, 1]] + [[2 + i] for i in range(200)]
+    sizes = [1000, 1100, *[2040] * 199, 990]
+    assert packing.repair(sizes, windows, 2048 + 20) and max(sum(sizes[i] for i in w) for w in windows) <= 2068

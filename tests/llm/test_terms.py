@@ -65,3 +65,15 @@ def test_entries_of_several_words_and_of_two_letters():
     assert {h: terms.best(lexicon, h)[0] for h in cases} == cases
     alone = terms.Lexicon([{"canonical": "blue teaming"}])
     assert terms.best(alone, "the Blue  Teeming.")[0] == "blue teaming" and terms.best(alone, "blue")[0] == terms.best(alone, "teaming")[0] == ""
+
+
+def test_entries_of_one_letter():
+    lexicon = terms.Lexicon([{"canonical": "R"}, {"canonical": "regression"}])
+    assert [terms.best(lexicon, h)[0] for h in ("R", " r. ", "r model", "regression in R", "s", "")] == ["R", "R", "", "regression", "", ""]
+
+
+def test_blocks_change_nothing(spark, lexicon):
+    df = spark.createDataFrame(list(enumerate([*CASES, "blue teaming", "ai"])), "mention_id long, heard string")
+    lex = spark.createDataFrame([*TERMS, ("blue teaming", None, None, None, None, None, 1), ("AI", None, None, None, None, None, 1)], T)
+    whole, parts = ({r.mention_id: r.canonical for r in terms.match_mentions(df, lex, block=b).collect()} for b in (terms.BLOCK_CHARS, 150))
+    assert whole == parts and "blue teaming" in whole.values() and "AI" in whole.values()

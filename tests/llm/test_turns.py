@@ -15,6 +15,11 @@ def test_noise():
     assert turns.strip_noise("мм… (пауза) хм.") == "" and turns.strip_noise("умм домм э-экран") == "умм домм э-экран"
 
 
+def test_long_sounds_go_and_spoken_parentheses_stay():
+    assert turns.strip_noise("Да. [long applause from the whole hall, and then again, and again, for a minute] Нет (see the appendix).") == "Да. Нет (see the appendix)."
+    assert turns.strip_noise("Ну (laughs out loud for quite some time, so that nobody hears the speaker at all) вот (вздыхает) (ok)") == "Ну вот"
+
+
 def said(text, label=None):
     return [(p[1], p[2]) for p in turns.parse(text, label)]
 
@@ -35,6 +40,16 @@ def test_labels():
     # one name for two entries: those are assigned, the one nobody else names first
     assert turns.match_labels(["зоя", "зоя карп"], [(0, "Зоя Карп"), (1, "Зоя Линь")]) == {"зоя карп": 0, "зоя": 1}
     assert turns.match_labels(["олег"], []) == {}
+    # more open labels than entries: all are assigned at once, evenly
+    got = turns.match_labels(["а карп", "карп", "карп а", "karp", "карп л"], [(0, "Анна Карп"), (1, "Лев Карп")])
+    assert got["а карп"] == got["карп а"] == 0 and got["карп л"] == 1 and len(got) == 5 and got["карп"] != got["karp"] or got["карп"] == got["karp"] == 1
+
+
+def test_rows_without_a_start_come_last_in_shards(spark):
+    rows = [(1, i, None if i > 2 else 5.0 - i, None, "Да.", "SPEAKER_00" if i % 2500 < 1250 else "SPEAKER_01") for i in range(5000)]
+    df = spark.createDataFrame(rows, "rec_id long, seg_idx int, start_sec double, end_sec double, text string, speaker string")
+    got = sorted(tuple(r) for r in turns.turns(df, spark.createDataFrame([(1, *e) for e in ROSTER], "rec_id long, speaker_no int, display_name string"), text=False).collect())
+    assert sorted(x[1:] for x in got) == sorted([(0, 2, 1249), (1, 1250, 2499), (0, 2500, 3749), (1, 3750, 4999)])
 
 
 def test_assignment_is_optimal():

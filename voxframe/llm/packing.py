@@ -16,8 +16,8 @@ than two windows, is dealt and packed again until one bin is left. So the unused
 space is about that of a single packing.
 
 Null and empty texts have no tokens and go to no sequence. Equal texts are items
-of their own; a doc_id that comes twice counts once (with its first text in
-order). Ties are broken by id.
+of their own; a doc_id that comes twice counts once, with the text of fewest
+tokens. Ties are broken by id.
 """
 
 from __future__ import annotations
@@ -102,14 +102,14 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 def repair(sizes: list[int], windows: list[list[int]], capacity: int) -> bool:
     """Swap items (or move one) from windows beyond ``capacity`` to others with room, in place; True if all fit then."""
     fill = np.array([sum(sizes[i] for i in w) for w in windows])
-    for _ in range(8 * len(windows)):
+    while True:  # each swap lessens what is beyond the capacity
         f = int(fill.argmax())
         over = int(fill[f]) - capacity
         if over <= 0:
             return True
         give = np.array([sizes[i] for i in windows[f]])
         best: tuple | None = None
-        for t in np.argsort(fill, kind="stable")[:64]:
+        for t in np.argsort(fill, kind="stable"):
             room = capacity - int(fill[t])
             if room <= 0:
                 break
@@ -132,7 +132,6 @@ def repair(sizes: list[int], windows: list[list[int]], capacity: int) -> bool:
         windows[t].append(item)
         fill[f] -= gain_
         fill[t] += gain_
-    return bool((fill <= capacity).all())
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -142,7 +141,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         windows = differencing(sizes, k)
         if repair(sizes, windows, capacity):
             return windows
-        k += max(1, k // 500)
+        k += 1
 
 
 def pack_full(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[list[int]], list[int]]:
@@ -203,7 +202,7 @@ def sequences(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = T
         rest = packed.where("seq < 0").select("item", "part", "n_tokens", F.xxhash64("item", "part").alias("h"))
         level, total = level + 1, rest.agg(F.sum("n_tokens")).first()[0] or 0
     rows = functools.reduce(DataFrame.unionAll, done)
-    return rows.select(F.xxhash64("seq").alias("seq_id"), F.col("item").alias("doc_id"), "part", (F.col("part").cast("long") * capacity).alias("first_token"), "n_tokens")
+    return rows.select(F.col("seq").alias("seq_id"), F.col("item").alias("doc_id"), "part", (F.col("part").cast("long") * capacity).alias("first_token"), "n_tokens")
 
 
 def unused_space(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -13,12 +13,12 @@ Words around a term, quotes, case, blanks, hyphens inside and compound tails
 ("term-report") are seen through. Neighbouring words are also tried joined, up to
 as many as the longest alias has. Russian words are tried without each possible
 case ending, as stems take endings. Words and aliases under 3 letters have no room
-for mistakes and match only their equals; aliases of one letter are left out.
+for mistakes and match only their equals; an alias of one letter matches a mention that is nothing but that letter.
 
 A null or empty mention stands for no term. Of equal costs the alias of greater
 length, then the canonical first in order, is taken. Repeated lexicon entries
 change nothing; an empty lexicon leaves every mention unmatched. Only the
-lexicon is broadcast, after a check of its size.
+lexicon is broadcast, in blocks of a bounded size.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from voxframe.functions.arrow import map_batches
 from voxframe.llm.textform import canonical
 from voxframe.operators.storage import spread
 
-#: Most rows and characters of a lexicon that are broadcast.
-MAX_TERMS, MAX_CHARS = 100_000, 20_000_000
+#: Characters of the lexicon entries that are broadcast at once; more are searched block by block.
+BLOCK_CHARS = 4_000_000
 #: Greatest weighted cost for each letter of the alias.
 MAX_COST = 0.27
 
@@ -96,9 +96,10 @@ def cost(a: str, b: str) -> float:
 class Lexicon:
     """Trie of the phonetic codes of all aliases; a node's entries are ``(alias, is_stem, canonical)``."""
 
-    def __init__(self, terms: Iterable[dict]):
+    def __init__(self, terms: Iterable[dict], words: int = 1, least: int = 3):
         self.root: dict = {}
-        self.words, self.least = 1, 3  # of aliases: most words of one, fewest letters of one (3 at most)
+        self.letters: dict[str, str] = {}  # aliases of one letter
+        self.words, self.least = words, least  # of aliases: most words of one, fewest letters of one (3 at most)
         self.known: dict[str, tuple[float, int, str]] = {}  # words looked up already
         for term in terms:
             name = term["canonical"]
@@ -117,6 +118,8 @@ class Lexicon:
         runs = _runs(alias)
         alias = _spell("".join(runs))
         if len(alias) < 2:
+            if alias:
+                self.letters[alias] = min(name, self.letters.get(alias, name))
             return
         self.words, self.least = max(self.words, len(runs)), min(self.least, sum(map(len, runs)))
         node = self.root
@@ -198,8 +201,12 @@ def nearest_alias(lexicon: Lexicon, word: str) -> tuple[float, int, str]:
     return found
 
 
-def best(lexicon: Lexicon, heard: str, most: float = MAX_COST) -> tuple[str, float]:
-    """The canonical a mention stands for, or '', and the least cost a letter."""
+def nearest(lexicon: Lexicon, heard: str) -> tuple[float, int, str]:
+    """What ``nearest_alias`` finds for the best reading of a mention."""
+    runs = _runs(heard)
+    if len(runs) == 1 and len(runs[0]) == 1:
+        name = lexicon.letters.get(_spell(runs[0]))
+        return (0.0, -1, name) if name else (9.0, 0, "")
     found = (9.0, 0, "")
     for word in readings(heard, lexicon.words, lexicon.least):
         if word not in lexicon.known:
@@ -207,26 +214,52 @@ def best(lexicon: Lexicon, heard: str, most: float = MAX_COST) -> tuple[str, flo
                 lexicon.known.clear()
             lexicon.known[word] = nearest_alias(lexicon, word)
         found = min(found, lexicon.known[word])
+    return found
+
+
+def best(lexicon: Lexicon, heard: str, most: float = MAX_COST) -> tuple[str, float]:
+    """The canonical a mention stands for, or '', and the least cost a letter."""
+    found = nearest(lexicon, heard)
     return (found[2] if found[0] <= most else "", found[0])
 
 
-def match_mentions(mentions: DataFrame, terms: DataFrame, most: float = MAX_COST) -> DataFrame:
+def _extent(terms: DataFrame) -> tuple[int, int]:
+    """Most words and fewest letters (3 at most) of the aliases of a whole lexicon."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        lexicon = Lexicon(b.to_pylist())
+        return {"words": [lexicon.words], "least": [lexicon.least]}
+
+    r = map_batches(terms, run, "words int, least int").agg(F.max("words"), F.min("least")).first()
+    return r[0] or 1, r[1] or 3
+
+
+def match_mentions(mentions: DataFrame, terms: DataFrame, most: float = MAX_COST, block: int = BLOCK_CHARS) -> DataFrame:
     """``mention_id, canonical`` - one row per mention; '' where it stands for no term."""
-    size = terms.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*terms.columns))))).first()
-    if size[0] > MAX_TERMS or (size[1] or 0) > MAX_CHARS:
-        raise ValueError(f"a lexicon of {size[0]} terms is beyond what is broadcast; split it by first letter of the phonetic code")
-    entries = [r.asDict() for r in terms.select("canonical", "ru_stems", "ru_exact", "latin_variants", "latin_suggest").collect()]
-    shared = mentions.sparkSession.sparkContext.broadcast(entries)
-    heard = mentions.where("heard is not null").select("heard").distinct()
+    entries = terms.select("canonical", "ru_stems", "ru_exact", "latin_variants", "latin_suggest").where("canonical <> ''")
+    n = -(-(entries.agg(F.sum(F.length(F.to_json(F.struct(*entries.columns))))).first()[0] or 1) // block)
+    words, least = _extent(entries) if n > 1 else (1, 3)  # a block's readings are those of the whole lexicon
+    heard = spread(mentions.where("heard is not null").select("heard").distinct(), "heard")
+    found = None
+    for b in range(n):
+        own = entries if n == 1 else entries.where(F.pmod(F.xxhash64("canonical"), F.lit(n)) == b)
+        shared = mentions.sparkSession.sparkContext.broadcast((tuple(r.asDict() for r in own.collect()), words, least))
+        near = _near(heard, shared, most)
+        found = near if found is None else found.unionAll(near)
+    if n > 1:
+        found = found.groupBy("heard").agg(F.min(F.struct("cost", "size", "canonical")).alias("f")).select("heard", "f.canonical")
+    joined = mentions.select("mention_id", "heard").join(found.select("heard", "canonical"), "heard", "left")
+    return joined.groupBy("mention_id").agg(F.coalesce(F.max("canonical"), F.lit("")).alias("canonical"))
+
 
+def _near(heard: DataFrame, shared, most: float) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         lexicon = _lexicon(shared)
-        texts = batch.column("heard").to_pylist()
-        return {"heard": texts, "canonical": [best(lexicon, x, most)[0] for x in texts]}
+        rows = [(x, *nearest(lexicon, x)) for x in batch.column("heard").to_pylist()]
+        rows = [r for r in rows if r[1] <= most]
+        return {c: [r[i] for r in rows] for i, c in enumerate(("heard", "cost", "size", "canonical"))}
 
-    known = map_batches(spread(heard, "heard"), run, "heard string, canonical string").where("canonical <> ''")
-    joined = mentions.select("mention_id", "heard").join(known, "heard", "left")
-    return joined.groupBy("mention_id").agg(F.coalesce(F.max("canonical"), F.lit("")).alias("canonical"))
+    return map_batches(heard, run, "heard string, cost double, size int, canonical string")
 
 
 _LEXICONS: dict = {}
@@ -235,5 +268,5 @@ _LEXICONS: dict = {}
 def _lexicon(shared) -> Lexicon:
     """One trie for each Python worker."""
     if shared.value is not _LEXICONS.get("of"):
-        _LEXICONS.update(of=shared.value, lexicon=Lexicon(shared.value))
+        _LEXICONS.update(of=shared.value, lexicon=Lexicon(*shared.value))
     return _LEXICONS["lexicon"]

@@ -33,7 +33,15 @@ from voxframe.operators.storage import materialise, spread
 FILLERS = "э ээ эээ э-э э-э-э э-эм эм эмм м мм ммм м-м хм хмм гм uh uhh uh-uh uh-uh-uh uhm um umm er erm eh hm hmm mm mmm mhm äh ähh ähm öh öhm".split()
 # Words before a speaker's number.
 NUMBER_WORDS = "speaker speakers spk s sp спикер говорящий участник голос sprecher teilnehmer".split()
+# Beginnings of words for sounds and for speech that can't be made out, in Russian, English and German.
+SOUNDS = [
+    "смех", "сме[её]тся", "смеются", "каш", "пауз", "музык", "аплодис", "шум", "неразб", "вздох", "вздых", "звон", "стук", "щелч", "плач", "тишин", "молч", "гудок", "гудки", "помех", "хлоп", "скрип", "хихик",
+    "laugh", "chuckl", "cough", "sigh", "pause", "music", "applau", "noise", "inaudib", "unintellig", "crosstalk", "silence", "clap", "ring", "beep", "breath", "sniff", "click", "knock", "cry", "whisper",
+    "lach", "hust", "seufz", "musik", "applaus", "rausch", "beifall", "unverst", "stille", "klopf", "klingel", "räusper", "atm", "flüster",
+]
 SHARD_S = 600
+#: Costs that differ by no more are open to assignment; what each further label adds to an entry's cost.
+MARGIN, SHARED = 1e-3, 0.02
 
 _TIME = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _TIME_MARK = regex.compile(
@@ -41,8 +49,11 @@ _TIME_MARK = regex.compile(
     rf"|\d{{1,3}}:\d{{2}}:\d{{2}}[.,]\d{{1,3}}\s*-->\s*\d{{1,3}}:\d{{2}}:\d{{2}}[.,]\d{{1,3}}"
     r"|(?<![\w:.,])\d{1,3}:\d{2}:\d{2}(?:[.,]\d{1,3})?(?![\w:])"
 )
-_SOUND = regex.compile(r"\[[^\[\]]{0,60}\]|\([^()]{0,60}\)|\{[^{}]{0,60}\}|<[^<>]{0,60}>|\*[^*\n]{1,60}\*|[♪♫♬]+")
-_BRACKETED_LABEL = regex.compile(r"\[([^\[\]]{0,60}\p{L}[^\[\]]{0,60})\]\s*:")
+# Sounds stand in brackets of their own, of any length, or in parentheses; what is spoken may stand there too.
+_SOUND = regex.compile(r"\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\*[^*\n]+\*|[♪♫♬]+")
+_PARENTHESIS = regex.compile(r"\(([^()]*)\)")
+_SOUND_WORD = regex.compile(rf"\b(?:{'|'.join(SOUNDS)})", regex.IGNORECASE)
+_BRACKETED_LABEL = regex.compile(r"\[([^\[\]]*\p{L}[^\[\]]*)\]\s*:")
 _LOOSE_MARK = regex.compile(r"\s+([.,;!?…])|^[\s.,;!?…]+")
 _FILLER = regex.compile(rf"(?<![\w-])(?:{'|'.join(sorted(map(regex.escape, FILLERS), key=len, reverse=True))})(?![\w-])(?:\.\.\.|…|,)?", regex.IGNORECASE)
 _TOKEN = r"[^\W\d_](?:\.|[\w'-]*)"
@@ -65,6 +76,7 @@ def strip_noise(text: str) -> str:
     """Text without time marks, sound annotations and hesitation sounds, single blanks between words."""
     text = _BRACKETED_LABEL.sub(r"\1:", text)
     text = _SOUND.sub(" ", _TIME_MARK.sub(" ", text))
+    text = _PARENTHESIS.sub(lambda m: " " if len(m[1].split()) < 2 or _SOUND_WORD.search(m[1]) else m[0], text)
     text = _BLANKS.sub(" ", _FILLER.sub(" ", text)).strip()
     return _LOOSE_MARK.sub(lambda m: m[1] or "", text)
 
@@ -189,9 +201,9 @@ def match_labels(labels: list[str], roster: list[tuple[int, str]]) -> dict[str,
     """Roster number of each label that names an entry.
 
     Candidates come from phonetic blocks; a label that shares no block is held
-    against the whole roster. A label of one best entry takes it. Labels with
-    several equally good ones are assigned at least total cost, with those
-    entries dearer that other labels have taken already.
+    against the whole roster. A label that is nearest to one entry by a margin
+    takes it. All others of the recording are assigned together at least total
+    cost, in which an entry grows dearer with each label that has it.
     """
     names = [(no, tidy_label(name)) for no, name in roster]
     names = [(no, name) for no, name in names if name and not name.startswith("#")]
@@ -213,19 +225,20 @@ def match_labels(labels: list[str], roster: list[tuple[int, str]]) -> dict[str,
             if costs:
                 break
         if costs:
-            best = min(costs.values())
-            ks = sorted(k for k, c in costs.items() if c <= best + 1e-9)
-            if len(ks) == 1:
-                found[label] = names[ks[0]][0]
+            least = min(costs.values())
+            costs = {k: c for k, c in costs.items() if c <= least + MARGIN}
+            if len(costs) == 1:
+                found[label] = names[next(iter(costs))][0]
             else:
-                open_[label] = ks
-    taken = set(found.values())
+                open_[label] = costs
+    taken = {no: n for no in set(found.values()) if (n := sum(1 for x in found.values() if x == no))}
     todo = sorted(open_)
-    for i in range(0, len(todo), max(1, len(names))):
-        part = todo[i : i + len(names)]
-        cost = [[(0.1 * (names[k][0] in taken) + 0.001 * k) if k in open_[x] else 1e6 for k in range(len(names))] for x in part]
-        for x, k in zip(part, assign(cost), strict=True):
-            found[x] = names[k if k in open_[x] else open_[x][0]][0]
+    # An entry has a column for each label that may have it, the later ones dearer, so that any number may share it.
+    wanted = {k: sum(k in costs for costs in open_.values()) for k in sorted({k for costs in open_.values() for k in costs})}
+    columns = [(k, nth) for k, n in wanted.items() for nth in range(n)]
+    cost = [[open_[x][k] + SHARED * (taken.get(names[k][0], 0) + nth) + 1e-6 * k if k in open_[x] else 1e6 for k, nth in columns] for x in todo]
+    for x, j in zip(todo, assign(cost), strict=True):
+        found[x] = names[columns[j][0]][0]
     return found
 
 
@@ -273,7 +286,8 @@ def spoken_parts(raw: DataFrame, speakers: DataFrame) -> DataFrame:
 def _runs(parts: DataFrame, shard_s: int) -> DataFrame:
     """Parts with the speaker in force and their turn: ``turn_shard, turn_run`` of the turn's first run."""
     at = F.coalesce("start_sec", F.lit(float("inf")))
-    shard = F.coalesce(F.floor(F.col("start_sec") / shard_s), F.lit(1 << 62)).cast("long")
+    late = F.lit(1 << 61) + F.floor(F.col("seg_idx") / 1000)  # rows without a start come last, in shards by their index
+    shard = F.coalesce(F.floor(F.col("start_sec") / shard_s), late).cast("long")
     parts = parts.withColumns({"at": at, "shard": shard})
     order = ["at", "seg_idx", "part"]
     here = Window.partitionBy("rec_id", "shard").orderBy(*order)
