@@ -10,7 +10,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from voxframe.plans import core
+from voxframe.plans import artifacts, core
+
+QUERIES, SQL = core.queries() | artifacts.queries(), core.oracle_sql() | artifacts.oracle_sql()
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -35,10 +37,10 @@ def duck():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, duck, name):
-    df = core.queries()[name](spark, str(DATA))
-    cursor = duck.execute(core.oracle_sql()[name])
+    df = QUERIES[name](spark, str(DATA))
+    cursor = duck.execute(SQL[name])
     columns = [c[0] for c in cursor.description]
     expected = cursor.fetchall()
     assert sorted(columns) == sorted(df.columns)
@@ -46,9 +48,9 @@ def test_against_sql(spark, duck, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    df = core.queries()[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     assert len(df.columns) == len(set(df.columns))
     assert df.count() >= 0
 

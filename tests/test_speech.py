@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as X
 from voxframe.operators import chunks, clustering, profile, releases, review, speakers, tokens
-from voxframe.sources import sinks, transcripts
+from voxframe.sources import publication, sinks, transcripts
 
 SEG = "rec_id long, engine string, seg_id long, seg_idx int, start_sec double, end_sec double"
 SPAN = "rec_id long, start_sec double, end_sec double, label string"
@@ -262,33 +262,30 @@ def test_sinks(spark, tmp_path):
     assert sinks.normalised_path("/x/a.transcript.json") == "/x/a.transcript.normalized.json"
 
 
-def test_publish_is_all_or_nothing(tmp_path):
-    staged, final = {}, []
-    for i in range(8):
-        (tmp_path / f"s{i}").write_text(f"new{i}")
-        (tmp_path / f"f{i}").write_text(f"old{i}")
-        staged[str(tmp_path / f"s{i}")] = str(tmp_path / f"f{i}")
-        final.append(tmp_path / f"f{i}")
-    calls = []
-
-    def failing(a, b):
-        calls.append(a)
-        if len(calls) == 5:
-            raise OSError("disk")
-        os.replace(a, b)
-
-    with pytest.raises(OSError, match="disk"):
-        sinks.publish(staged, move=failing)
-    assert [p.read_text() for p in final] == [f"old{i}" for i in range(8)]
-    for i in range(8):
-        (tmp_path / f"s{i}").write_text(f"new{i}")
-    with pytest.raises(ValueError, match="wrong"):
-        sinks.publish(staged, check=lambda _: (_ for _ in ()).throw(ValueError("wrong")))
+def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    def files():
+        return {p.name: p.read_text() for p in tmp_path.iterdir()}
+
+    old = {f"f{i}": f"old{i}" for i in range(0, 8, 2)}
+    for name, text in old.items():
+        (tmp_path / name).write_text(text)
+    df = spark.createDataFrame([(f"f{i}", f"new{i}", 1) for i in range(8)], "name string, value string, extra int").repartition(3)
+    for bad in (df.unionByName(df.limit(1)), df.withColumn("name", F.concat(F.lit("../"), "name")), df.withColumn("value", F.expr("if(name = 'f7', raise_error('broken'), value)"))):
+        with pytest.raises(Exception, match="one name|no file name|broken"):
+            publication.publish(bad, str(tmp_path))
+        assert files() == old
+    writer = publication.ArtifactWriter(str(tmp_path))
+    staged = []
+    for i in range(5):
+        (writer.staging / str(i)).write_text(f"new{i}")
+        staged.append((str(writer.staging / str(i)), f"f{i}"))
     with pytest.raises(FileNotFoundError):
-        sinks.publish(staged | {str(tmp_path / "absent"): str(tmp_path / "x")})
-    assert [p.read_text() for p in final] == [f"old{i}" for i in range(8)]
-    sinks.publish(staged)
-    assert [p.read_text() for p in final] == [f"new{i}" for i in range(8)] and len(list(tmp_path.iterdir())) == 8
+        writer.commit([publication.Written([*staged, (str(writer.staging / "absent"), "f5")]), None])
+    assert files() == old
+    publication.publish(df, str(tmp_path))
+    assert files() == {f"f{i}": f"new{i}" for i in range(8)}
+    publication.publish(df.where("false"), str(tmp_path))
+    assert len(files()) == 8
 
 
 def test_join_words(spark):

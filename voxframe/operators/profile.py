@@ -63,3 +63,31 @@ def embeddable(segments: DataFrame, least: float = 0.6, samples: float = 0.4, ra
     """Segments long enough for a voice embedding."""
     length = F.floor(F.col("end_sec") * rate) - F.floor(F.col("start_sec") * rate)
     return segments.where((F.col("end_sec") - F.col("start_sec") >= least) & (length >= int(samples * rate)))
+
+
+# The one preset, its model, beam and description.
+PRESETS = {"quality": ("large-v3", 5, "Максимальное качество (large-v3, beam=5)")}
+ORDER = ["whisper-cpp", "faster-whisper", "mlx-whisper"]
+
+
+def estimate_report(recordings: DataFrame, diarizer: str | None = None) -> DataFrame:
+    """``rec_id, duration_hms, backend, preset, model, beam_size, estimate_seconds, estimate, description``.
+
+    One row for each backend of ``available`` and each preset, but for whisper-cpp without the preset's model among ``models``.
+    """
+    presets = F.array(*(F.struct(F.lit(p).alias("preset"), F.lit(m).alias("model"), F.lit(b).alias("beam_size"), F.lit(t).alias("description")) for p, (m, b, t) in PRESETS.items()))
+    rows = estimates(recordings, diarizer, ORDER).join(recordings.select("rec_id", "duration", "available", "models"), "rec_id")
+    rows = rows.where(F.array_contains("available", F.col("backend"))).withColumn("p", F.explode(presets))
+    rows = rows.where((F.col("backend") != "whisper-cpp") | F.coalesce(F.array_contains("models", F.col("p.model")), F.lit(False)))
+    return rows.select("rec_id", X.clock(F.col("duration")).alias("duration_hms"), "backend", "p.preset", "p.model", "p.beam_size", "estimate_seconds", "estimate", "p.description")
+
+
+def diarizer(df: DataFrame) -> DataFrame:
+    """``df`` (requested, pyannote, hf_token, resemblyzer) with ``diarizer`` and, where what is requested can't be had, ``error``."""
+    asked, ready = F.col("requested"), F.col("pyannote") & F.col("hf_token")
+    chosen = (
+        F.when((asked == "pyannote") & ready, "pyannote").when((asked == "resemblyzer") & F.col("resemblyzer"), "resemblyzer")
+        .when((asked == "auto") & ready, "pyannote").when((asked == "auto") & F.col("resemblyzer"), "resemblyzer")
+    )
+    error = F.when((asked == "pyannote") & F.col("pyannote"), "token_missing").otherwise("not_installed")
+    return df.withColumns({"diarizer": chosen, "error": F.when(chosen.isNull() & (asked != "none"), error)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions import text as X
@@ -167,7 +167,7 @@ def lexicon_matches(spark: SparkSession, d: str) -> DataFrame:
 def lexicon_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Matches with the canonical forms and everyday words of the documents as word list."""
     cores = table(spark, d, "words").where("text is not null").select(X.core(F.col("text")).alias("core"))
-    spoken = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
+    spoken = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
     return lexicon.match(cores, _rules(spark, d), spoken.distinct()).where("reason like 'fuzzy%'")
 
 
@@ -247,7 +247,7 @@ def token_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def speech_chunks(spark: SparkSession, d: str) -> DataFrame:
-    s = _segments(spark, d).where("engine = 'gigaam'").join(table(spark, d, "recordings").select("rec_id", F.col("duration_sec").alias("total")), "rec_id", "left")
+    s = _segments(spark, d).join(table(spark, d, "recordings").select("rec_id", F.col("duration_sec").alias("total")), "rec_id", "left")
     return chunks.speech_chunks(s.select("rec_id", "start_sec", "end_sec", "total"))
 
 
@@ -255,16 +255,23 @@ def speech_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _silences(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "segments").where("engine = 'gigaam'").select("rec_id", *(intervals.to_ms(F.col(c)).alias(c) for c in ("start_sec", "end_sec")))
+    s = table(spark, d, "segments").select("rec_id", *(intervals.to_ms(F.col(c)).alias(c) for c in ("start_sec", "end_sec")))
     gaps = intervals.periods_and_gaps(s, ["rec_id"], "start_sec", "end_sec").where("kind = 'gap'")
     return profile.silence(gaps.select("rec_id", ((F.col("to_ms") - F.col("from_ms")) / 1000.0).alias("seconds")))
 
 
+def available() -> Column:
+    """Backends that are there, made up from a recording's id."""
+    n = F.col("rec_id") % 7
+    return F.filter(F.array(F.when(n != 1, "mlx-whisper"), F.when(n % 2 == 0, "whisper-cpp"), F.when(n % 3 == 0, "faster-whisper")), lambda x: x.isNotNull())
+
+
 def recording_risks(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "recordings").select("rec_id", F.col("duration_sec").alias("duration"), "sample_rate", F.lit(None).cast("int").alias("bitrate_kbps"), F.lit(None).cast("double").alias("mean_db"))
+    """Risks of each recording; the bit rate is that of the samples at 4 bits, the volume is made up from the id."""
+    made_up = [(F.col("sample_rate") * 4 / 1000).cast("int").alias("bitrate_kbps"), (F.col("rec_id") % 10 - 35).cast("double").alias("mean_db")]
+    r = table(spark, d, "recordings").select("rec_id", F.col("duration_sec").alias("duration"), "sample_rate", *made_up)
     s = _silences(spark, d).select("rec_id", F.col("total_seconds").alias("total_silence"), F.col("max_seconds").alias("max_silence"))
-    rows = profile.risks(r.join(s, "rec_id", "left")).withColumn("available", F.array(F.lit("mlx-whisper"), F.lit("faster-whisper")))
-    rows = profile.with_backend(rows)
+    rows = profile.with_backend(profile.risks(r.join(s, "rec_id", "left")).withColumn("available", available()))
     return rows.select("rec_id", F.array_join("warnings", ",").alias("warnings"), F.coalesce("no_condition", F.lit(False)).alias("no_condition"), "backend")
 
 

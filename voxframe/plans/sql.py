@@ -99,14 +99,14 @@ select rec_id, engine, speaker as label, arg_min(start_sec, seg_idx) as start_se
   m as (select *, max(greatest(s, e)) over (partition by seg_id order by word_id rows unbounded preceding) as end_ms from k)
 select seg_id, row_number() over (partition by seg_id order by word_id) - 1 as word_idx, greatest(s, coalesce(lag(end_ms) over (partition by seg_id order by word_id), s)) as start_ms, end_ms, word, round_even(conf, 4) as conf from m""",
     "recording_risks": """
-with i as (select rec_id, cast(round(start_sec * 1000) as bigint) as s, cast(round(end_sec * 1000) as bigint) as e from segments where engine = 'gigaam' and start_sec is not null and end_sec is not null),
+with i as (select rec_id, cast(round(start_sec * 1000) as bigint) as s, cast(round(end_sec * 1000) as bigint) as e from segments where start_sec is not null and end_sec is not null),
   t as (select *, max(e) over (partition by rec_id order by s, e rows between unbounded preceding and 1 preceding) as p from i where s <= e),
   g as (select rec_id, (s - p) / 1000.0 as sec from t where s > p and s - p >= 5000),
   h as (select rec_id, round_even(sum(sec), 1) as total, round_even(max(sec), 1) as most from g group by rec_id),
-  x as (select r.rec_id, r.duration_sec as d, r.sample_rate as sr, h.total, h.most from recordings r left join h using (rec_id)),
-  y as (select rec_id, coalesce(most >= 30, false) as block, coalesce(total / nullif(d, 0) > 0.10, false) as ratio, coalesce(d >= 9000, false) as vl, coalesce(d >= 5400 and d < 9000, false) as lg, coalesce(sr > 0 and sr <= 8000, false) as low from x)
-select rec_id, concat_ws(',', case when vl then 'very_long' end, case when lg then 'long' end, case when block then 'long_silence_block' end, case when ratio then 'high_silence_ratio' end, case when low then 'low_sample_rate' end) as warnings,
-  block or ratio as no_condition, 'faster-whisper' as backend from y""",
+  x as (select r.rec_id, r.duration_sec as d, r.sample_rate as sr, cast(floor(r.sample_rate * 4 / 1000.0) as int) as br, r.rec_id % 10 - 35 as db, case when (r.rec_id % 7) % 2 = 0 then 'whisper-cpp' when (r.rec_id % 7) % 3 = 0 then 'faster-whisper' when r.rec_id % 7 <> 1 then 'mlx-whisper' end as backend, h.total, h.most from recordings r left join h using (rec_id)),
+  y as (select rec_id, coalesce(most >= 30, false) as block, coalesce(total / nullif(d, 0) > 0.10, false) as ratio, coalesce(d >= 9000, false) as vl, coalesce(d >= 5400 and d < 9000, false) as lg, coalesce(sr > 0 and sr <= 8000, false) as low, coalesce(br > 0 and br < 64, false) as lb, coalesce(db < -30, false) as quiet, backend from x)
+select rec_id, concat_ws(',', case when vl then 'very_long' end, case when lg then 'long' end, case when block then 'long_silence_block' end, case when ratio then 'high_silence_ratio' end, case when low then 'low_sample_rate' end, case when lb then 'low_bitrate' end, case when quiet then 'quiet_audio' end, case when backend = 'mlx-whisper' then 'mlx_only_no_beam' end) as warnings,
+  block or ratio as no_condition, backend from y""",
     "recording_estimates": """
 with o as (select * from (values ('whisper-cpp', 0.16, 5.0), ('faster-whisper', 0.9, 8.0), ('mlx-whisper', 0.20, 6.0)) v(backend, rtf, load)),
   x as (select rec_id, backend, cast(load as double) + duration_sec * cast(rtf as double) + 25.0 + duration_sec * cast(0.12 as double) as e from recordings, o where duration_sec is not null)

@@ -156,7 +156,7 @@ SQL: dict[str, str] = {
   q7 as (select rec_id, engine, key, x, count, row_number() over (partition by rec_id, engine order by x.k desc, count desc, x.s nulls first, key) as rank from q6)
 select rec_id, engine, rank, {_HMS.format("cast(round_even(x.s, 0) as bigint)")} as at, x.s as start_sec, x.w as word, x.c as conf, x.k as score, array_to_string(x.g, ',') as signals, array_to_string(x.v, ' ') as variants, count from q7 where rank <= 40""",
     "speech_chunks": """with recursive s as (select distinct seg_id, rec_id, engine, start_sec, end_sec from segments),
-  i as (select s.rec_id, greatest(0.0, start_sec) as s, least(end_sec, coalesce(duration_sec, end_sec)) as e from s left join recordings r on r.rec_id = s.rec_id where engine = 'gigaam' and start_sec is not null and end_sec is not null),
+  i as (select s.rec_id, greatest(0.0, start_sec) as s, least(end_sec, coalesce(duration_sec, end_sec)) as e from s left join recordings r on r.rec_id = s.rec_id where start_sec is not null and end_sec is not null),
   o as (select *, row_number() over (partition by rec_id order by s, e) as n from i),
   f(rec_id, n, a, e, held, g) as (select rec_id, n, s, e, e - s, 1 from o where n = 1
     union all select o.rec_id, o.n, case when k then o.s else f.a end, o.e, o.e - case when k then o.s else f.a end, case when k then g + 1 else g end

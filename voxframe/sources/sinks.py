@@ -1,11 +1,7 @@
-"""Artifacts of transcripts and reviews, as one text per recording, and their publication as a whole or not at all."""
+"""Artifacts of transcripts and reviews, as one text per recording."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import uuid
-from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,18 +69,54 @@ def review_template(comparisons: DataFrame) -> DataFrame:
     return comparisons.select("rec_id", F.to_json(body).alias("json"))
 
 
-def disagreements_md(listed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``rec_id, md``: the discrepancies of each recording with interval, both versions and reason."""
+# The report's words for severities, and its sentences.
+_LABELS = {"critical": "критическое", "substantive": "существенное", "minor": "незначительное"}
+_TITLE = "# Расхождения транскрипции"
+_NOTE = "Порядок версий не означает, что одна модель предпочтительнее. Правильный вариант определяется только после прослушивания исходной записи."
+_NONE = "Смысловых расхождений для проверки не найдено."
+
+
+def _evidence(listed: DataFrame, candidates: DataFrame) -> DataFrame:
     c = candidates.select("rec_id", F.col("id").alias("candidate_id"), "from_time", "to_time", "precision", "version_gigaam", "version_whisper")
-    rows = listed.join(c, ["rec_id", "candidate_id"])
+    return listed.join(c, ["rec_id", "candidate_id"])
+
+
+def disagreements_md(listed: DataFrame, candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rec_id, md``: how many were reviewed (``counts``: rec_id, source, reviewed and each severity), then each discrepancy with interval, both versions and reason."""
     absent = F.lit("— фрагмент отсутствует")
-    label = F.element_at(F.create_map(*(F.lit(x) for x in ("critical", "критическое", "substantive", "существенное", "minor", "незначительное"))), F.col("priority"))
+    label = F.element_at(F.create_map(*(F.lit(x) for pair in _LABELS.items() for x in pair)), F.col("priority"))
     note = F.when(F.col("precision") == "segment", " (приблизительно: доступны только границы ASR-сегмента)").otherwise("")
     line = F.concat(
-        F.lit("## "), "candidate_id", F.lit(" — "), label, F.lit(": "), F.array_join("categories", ", "), F.lit("\n\n- Интервал в исходной записи: `"), "from_time", F.lit("–"), "to_time", F.lit("`"), note,
+        F.lit("## "), "candidate_id", F.lit(" — "), F.coalesce(label, F.lit("")), F.lit(": "), F.array_join("categories", ", "), F.lit("\n\n- Интервал в исходной записи: `"), "from_time", F.lit("–"), "to_time", F.lit("`"), note,
         F.lit("\n\n**GigaAM**\n\n> "), F.coalesce("version_gigaam", absent), F.lit("\n\n**Whisper**\n\n> "), F.coalesce("version_whisper", absent), F.lit("\n\n**Почему нужно проверить:** "), "review_reason", F.lit("\n"),
     )
-    return _ordered(rows, ["rec_id"], ["place"], line, "\n", "md")
+    body = _ordered(_evidence(listed, candidates), ["rec_id"], ["place"], line, "\n", "body")
+    selected = F.col("critical") + F.col("substantive") + F.col("minor")
+    top = F.concat(
+        F.lit(f"{_TITLE}\n\n- Исходная запись: `"), "source", F.lit("`\n- Проверено кандидатов: "), F.col("reviewed").cast("string"), F.lit("\n- Требуют проверки человеком: "), selected.cast("string"),
+        F.lit(" (критических: "), F.col("critical").cast("string"), F.lit(", существенных: "), F.col("substantive").cast("string"), F.lit(", незначительных: "), F.col("minor").cast("string"), F.lit(f")\n\n{_NOTE}\n\n"),
+    )
+    return counts.join(body, "rec_id", "left").select("rec_id", F.concat(top, F.coalesce("body", F.lit(_NONE + "\n"))).alias("md"))
+
+
+def disagreements_json(listed: DataFrame, candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rec_id, json``: the same as one document, each discrepancy pending a human's decision."""
+    interval = F.struct("start_seconds", "end_seconds", F.col("from_time").alias("from"), F.col("to_time").alias("to"), "precision")
+    versions = F.struct(F.col("version_gigaam").alias("gigaam"), F.col("version_whisper").alias("whisper"))
+    one = F.struct("place", F.struct(F.col("candidate_id").alias("id"), "status", "priority", "categories", interval.alias("interval"), versions.alias("versions"), "review_reason").alias("d"))
+    body = _evidence(listed, candidates).groupBy("rec_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["d"]).alias("discrepancies"))
+    by = F.struct("critical", "substantive", "minor")
+    document = F.struct(F.lit(1).alias("schema_version"), "source", F.col("reviewed").alias("reviewed_candidates"), by.alias("counts"), "discrepancies")
+    return counts.join(body, "rec_id", "left").select("rec_id", F.to_json(document).alias("json"))
+
+
+def normalised_json(segments: DataFrame, keys: list[str], events: DataFrame, version: int = 1, key: str = "seg_id") -> DataFrame:
+    """``keys, json``: transcripts of normalised texts, with the lexicon's version and how often it replaced and suggested."""
+    of = F.col("kind")
+    counts = events.join(segments.select(*keys, key), key).groupBy(*keys).agg(F.count_if(of == "replace").alias("replacements"), F.count_if(of == "suggest").alias("suggestions"))
+    every = segments.select(*keys).distinct().join(counts, keys, "left").na.fill(0, ["replacements", "suggestions"])
+    normalised = F.struct(F.lit(version).alias("lexicon_version"), "replacements", "suggestions")
+    return transcript_json(segments, keys, every.select(*keys, F.struct(normalised.alias("normalized")).alias("metadata")))
 
 
 def output_paths(review: str, output: str | None = None) -> tuple[str, str]:
@@ -107,32 +139,3 @@ def normalised_path(source: str) -> str:
 def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
     """One file per row in a folder of its own under ``path``, written by the executors."""
     df.select(F.col(name).cast("string").alias(name), F.col(text).alias("value")).write.partitionBy(name).mode("errorifexists").text(path)
-
-
-def publish(staged: dict[str, str], check: Callable[[dict[str, str]], None] | None = None, move: Callable[[str, str], None] = os.replace) -> None:
-    """Move all ``{staged file: final file}`` or none.
-
-    All must be there and pass ``check``; files in the way are kept aside and put back if any move fails.
-    """
-    if absent := [s for s in staged if not Path(s).is_file()]:
-        raise FileNotFoundError(", ".join(sorted(absent)))
-    if check:
-        check(staged)
-    kept: dict[str, str] = {}
-    moved: list[str] = []
-    try:
-        for source, final in staged.items():
-            Path(final).parent.mkdir(parents=True, exist_ok=True)
-            if Path(final).exists():
-                kept[final] = f"{final}.{uuid.uuid4().hex}.kept"
-                os.replace(final, kept[final])
-            move(source, final)
-            moved.append(final)
-    except BaseException:
-        for final in moved:
-            Path(final).unlink(missing_ok=True)
-        for final, backup in kept.items():
-            shutil.move(backup, final)
-        raise
-    for backup in kept.values():
-        Path(backup).unlink()
