@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.arrow import map_batches, map_groups
+from voxframe.functions.arrow import map_batches
 from voxframe.llm.textform import canonical
 from voxframe.operators.storage import materialise, spread
 
@@ -63,6 +63,8 @@ _LABEL = regex.compile(
     regex.IGNORECASE,
 )
 _NUMBERED = regex.compile(rf"(?:{'|'.join(NUMBER_WORDS)})[\s_№#.-]*0*(\d{{1,9}})", regex.IGNORECASE)
+_RUSSIAN, _STRONG_RUSSIAN = regex.compile(r"[а-яё]", regex.IGNORECASE), regex.compile(r"[бвгджзийклмнптфцчшщъыьэюя]", regex.IGNORECASE)
+_ASIDE, _LETTERS = regex.compile(r"\([^()]*\)"), regex.compile(r"[^\W\d_]+")
 _SPOKEN = regex.compile(r"[^\W_]")
 _BLANKS = regex.compile(r"\s+")
 
@@ -81,22 +83,23 @@ def strip_noise(text: str) -> str:
     return _LOOSE_MARK.sub(lambda m: m[1] or "", text)
 
 
+@functools.lru_cache(1 << 16)
 def tidy_label(label: str | None) -> str | None:
     """A label in one form: ``#3`` for a number, else lower-cased words; None where it holds no letter or digit."""
     if not isinstance(label, str):
         return None
-    x = canonical(label, "ru" if regex.search(r"[бвгджзийклмнптфцчшщъыьэюя]", label, regex.IGNORECASE) else "en")
-    x = regex.sub(r"\([^()]*\)", " ", x)
+    x = canonical(label, "ru" if _STRONG_RUSSIAN.search(label) else "en")
+    x = _ASIDE.sub(" ", x)
     if m := _NUMBERED.fullmatch(x.strip(" []<>{}:*-–—\t")):
         return f"#{int(m[1])}"
-    return " ".join(regex.findall(r"[^\W\d_]+", x.lower())) or None
+    return " ".join(_LETTERS.findall(x.lower())) or None
 
 
 def parse(text: str | None, label: str | None) -> list[tuple[int, str | None, bool, str]]:
     """Parts ``(number, label, speech?, said)``: part 0 has the row's own label, each other one what may be a label in the text."""
     if not isinstance(text, str):
         return []
-    text = strip_noise(canonical(text, "ru" if regex.search(r"[а-яё]", text, regex.IGNORECASE) else "en"))
+    text = strip_noise(canonical(text, "ru" if _RUSSIAN.search(text) else "en"))
     parts, at, own, written = [], 0, tidy_label(label), ""
     for m in _LABEL.finditer(text):
         said = text[at : m.start()].strip()
@@ -109,15 +112,16 @@ def parse(text: str | None, label: str | None) -> list[tuple[int, str | None, bo
 
 # ---- labels against the roster
 
+_CONFUSED, _VOWELS, _DOUBLES = str.maketrans("bvgdzcqw", "pfktskkf"), regex.compile(r"[aeiouyhäöü]"), regex.compile(r"(.)\1+")
+
 
+@functools.lru_cache(1 << 16)
 def phonetic(token: str) -> str:
     """Blocking key of a name: consonant classes of the Latin spelling, without doubles and vowels."""
     t = token.lower().translate(_TRANSLIT)
     for a, b in (("sch", "s"), ("sh", "s"), ("zh", "s"), ("ch", "s"), ("ts", "s"), ("ph", "f"), ("ck", "k"), ("x", "ks")):
         t = t.replace(a, b)
-    t = t.translate(str.maketrans("bvgdzcqw", "pfktskkf"))
-    t = regex.sub(r"[aeiouyhäöü]", "", t)
-    return regex.sub(r"(.)\1+", r"\1", t)
+    return _DOUBLES.sub(r"\1", _VOWELS.sub("", t.translate(_CONFUSED)))
 
 
 @functools.lru_cache(1 << 16)
@@ -135,6 +139,7 @@ def spelling_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+@functools.lru_cache(1 << 17)
 def _token_cost(token: str, name: str) -> float | None:
     """None: another name. Initials and full names cost nothing."""
     a, b = token.translate(_TRANSLIT), name.translate(_TRANSLIT)
@@ -258,10 +263,15 @@ def _parse_rows(batch: pa.RecordBatch) -> dict:
     return out
 
 
-def _match_group(labels: dict, roster: dict) -> dict:
-    entries = sorted((n, x or "") for n, x in zip(roster["speaker_no"], roster["display_name"], strict=True))
-    found = match_labels(sorted(labels["label"]), list(dict(entries).items()))
-    return {"rec_id": labels["rec_id"][:1] * len(found), "label": list(found), "speaker_no": list(found.values())}
+def _match(batch: pa.RecordBatch) -> dict:
+    """Labels of whole recordings against their rosters."""
+    out: dict[str, list] = {"rec_id": [], "label": [], "speaker_no": []}
+    for r, labels, roster in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "labels", "roster")), strict=True):
+        entries = dict(sorted((e["speaker_no"], e["display_name"] or "") for e in roster))
+        for label, no in match_labels(sorted(labels), list(entries.items())).items():
+            for column, x in zip(out.values(), (r, label, no), strict=True):
+                column.append(x)
+    return out
 
 
 def spoken_parts(raw: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -270,9 +280,10 @@ def spoken_parts(raw: DataFrame, speakers: DataFrame) -> DataFrame:
     rows = raw.select(*(F.col(c).cast(t) for c, t in zip(cols, ["long", "int", "double", "double", "string", "string"], strict=True)))
     rows = rows.where("rec_id is not null and seg_idx is not null and text is not null").dropDuplicates(["rec_id", "seg_idx"])
     parts = materialise(map_batches(rows, _parse_rows, _PARTS), "turn_parts")
-    labels = parts.where("label is not null").select("rec_id", "label").distinct()
-    roster = speakers.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("speaker_no").cast("int").alias("speaker_no"), "display_name").where("speaker_no is not null").distinct()
-    names = map_groups(spread(labels, "rec_id"), spread(roster, "rec_id"), ["rec_id"], _match_group, "rec_id long, label string, speaker_no int")
+    labels = parts.where("label is not null").groupBy("rec_id").agg(F.collect_set("label").alias("labels"))
+    roster = speakers.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("speaker_no").cast("int").alias("speaker_no"), "display_name").where("speaker_no is not null")
+    roster = roster.groupBy("rec_id").agg(F.collect_set(F.struct("speaker_no", "display_name")).alias("roster"))
+    names = map_batches(spread(labels.join(roster, "rec_id"), "rec_id"), _match, "rec_id long, label string, speaker_no int")
     parts = parts.join(names, ["rec_id", "label"], "left")
     # What looked like a label but names nobody is text, spoken by whoever speaks before it in the row.
     own = Window.partitionBy("rec_id", "seg_idx").orderBy("part")
