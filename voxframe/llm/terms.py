@@ -52,12 +52,13 @@ _SIMILAR = ["bp", "dt", "gkcq", "zs", "vfw", "iyj", "sc", "бп", "дт", "гк
 _CLOSE = {frozenset((a, b)) for g in _SIMILAR for a in g for b in g if a != b}
 _CYRILLIC = regex.compile(r"[а-яё]")
 _LATIN = regex.compile(r"[a-z]")
+_STRONG_RUSSIAN, _RUN, _DOUBLES = regex.compile(r"[бвгджзийклмнптфцчшщъыьэюя]", regex.IGNORECASE), regex.compile(r"[\p{L}\p{N}]+"), regex.compile(r"(.)\1+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*")
 
 
 def code(word: str) -> str:
     """Phonetic code: confusable letters alike, no doubles."""
-    return regex.sub(r"(.)\1+", r"\1", word.translate(_CODE))
+    return _DOUBLES.sub(r"\1", word.translate(_CODE))
 
 
 def reach(length: int) -> int:
@@ -148,8 +149,8 @@ def _runs(text: str | None) -> list[str]:
     """Runs of letters and digits in one form and lower case."""
     if not text:
         return []
-    ru = regex.search(r"[бвгджзийклмнптфцчшщъыьэюя]", text, regex.IGNORECASE)
-    return regex.findall(r"[\p{L}\p{N}]+", canonical(text, "ru" if ru else "en").lower())
+    ru = _STRONG_RUSSIAN.search(text)
+    return _RUN.findall(canonical(text, "ru" if ru else "en").lower())
 
 
 def _plain(text: str | None) -> str:
@@ -170,7 +171,7 @@ def _without_endings(word: str) -> list[str]:
 def readings(heard: str, most: int = 1, least: int = 3) -> list[str]:
     """What of a mention may be the term, of ``least`` letters: each word, joined at its hyphens, its parts before and after
     one, and up to ``most`` parts of neighbouring words, joined."""
-    ru = regex.search(r"[бвгджзийклмнптфцчшщъыьэюя]", heard, regex.IGNORECASE)
+    ru = _STRONG_RUSSIAN.search(heard)
     out: dict[str, None] = {}
     flat: list[tuple[str, int]] = []  # all parts and the word of each
     for i, m in enumerate(_WORD.finditer(canonical(heard, "ru" if ru else "en").lower())):
