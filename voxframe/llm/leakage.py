@@ -53,6 +53,8 @@ COSINE, NEAR = 0.85, 0.75
 BLOCK_WORDS, PIECE_WORDS = 1_000_000, 100_000
 #: Windows that are held against the index at once, and words of a document that are summed at once.
 CHUNK = 1 << 15
+#: Words whose passages are projected at once, few enough for the cache.
+FIT_WORDS = 16_000
 #: Rarest words that are answers of an item; weight of the answers in the score; least score of a paraphrase.
 RAREST, ANSWERS, SCORE = 3, 0.15, 0.55
 _CHUNKS, FAN, TASKS = 64, 64, 4
@@ -191,31 +193,30 @@ def fit(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     x = np.random.default_rng(seed).standard_normal((BUCKETS, DIMENSIONS + EXTRA))
     x, _ = np.linalg.qr(x)
 
-    def gram(shared):
+    def gram(x: np.ndarray) -> np.ndarray:
+        """A'AX over all passages, these of unit length."""
+        shared = spark.sparkContext.broadcast(((x * idf[:, None]).astype(np.float32), (idf**2).astype(np.float32)))
+
         def each(words: np.ndarray, row: np.ndarray) -> np.ndarray:
-            idf_, x_ = shared.value
-            total = np.zeros(x_.shape)
+            scaled, square = shared.value
+            total = np.zeros(scaled.shape)
             edge = np.r_[0, np.flatnonzero(np.diff(row)) + 1, len(words)]
-            cuts = np.unique(np.r_[edge[np.searchsorted(edge, np.arange(0, len(words), 200_000))], len(words)])
+            cuts = np.unique(np.r_[edge[np.searchsorted(edge, np.arange(0, len(words), FIT_WORDS))], len(words)])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 p, k = _passages(words[a:b], row[a:b]), _buckets(words[a:b])
-                weighted = x_[k] * idf_[k, None]
                 start = np.r_[0, np.flatnonzero(np.diff(p)) + 1]
-                projected = np.add.reduceat(weighted, start, axis=0)
-                norm = np.sqrt(np.add.reduceat(idf_[k] ** 2, start))
-                projected /= (norm**2)[:, None]  # passages of unit length, on both sides of A'A
-                back = projected[p]
+                projected = np.add.reduceat(scaled[k], start, axis=0)
+                projected /= np.add.reduceat(square[k], start)[:, None]
                 order = np.argsort(k, kind="stable")
-                at = np.r_[0, np.flatnonzero(np.diff(k[order])) + 1]
-                total[k[order][at]] += np.add.reduceat(back[order] * idf_[k[order], None], at, axis=0)
+                own = k[order]
+                at = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
+                total[own[at]] += np.add.reduceat(projected[p[order]], at, axis=0)
             return total
 
-        return each
+        return _partials(docs, each, DIMENSIONS + EXTRA) * idf[:, None]
 
-    width = DIMENSIONS + EXTRA
-    y = _partials(docs, gram(spark.sparkContext.broadcast((idf.astype(np.float32), x.astype(np.float32)))), width)
-    q, _ = np.linalg.qr(y)
-    z = _partials(docs, gram(spark.sparkContext.broadcast((idf.astype(np.float32), q.astype(np.float32)))), width)
+    q, _ = np.linalg.qr(gram(x))
+    z = gram(q)
     small = q.T @ z
     _, u = np.linalg.eigh((small + small.T) / 2)
     v = q @ u[:, ::-1][:, :DIMENSIONS]
