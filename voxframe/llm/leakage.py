@@ -48,7 +48,7 @@ BUCKETS, PASSAGE, DIMENSIONS, EXTRA = 1 << 14, 16, 64, 16
 #: Words of a window, and the step of the windows of documents and of items.
 WINDOW, DOC_STEP, ITEM_STEP = 9, 4, 2
 #: Least cosine of a candidate of a verbatim leak, and of a paraphrase.
-COSINE, NEAR = 0.85, 0.75
+COSINE, NEAR = 0.9, 0.75
 #: Words of items that are searched in one pass, and of an item's piece.
 BLOCK_WORDS, PIECE_WORDS = 1_000_000, 100_000
 #: Windows that are held against the index at once, and words of a document that are summed at once.
