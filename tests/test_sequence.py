@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from voxframe.operators import speakers
+import numpy as np
+
+from voxframe.operators import rank, sequence, speakers
 
 
 def test_against_walks(spark):
@@ -29,3 +31,45 @@ def test_against_walks(spark):
         assert {x.seg_id: x.speaker for x in speakers.backfill(df, shard).collect()} == filled
         got = speakers.islands(df.withColumnRenamed("speaker", "label"), shard).select("rec_id", "label", "start_sec", "end_sec").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, spans))
+
+
+def test_numbers_and_neighbours_across_shards(spark):
+    # One group of 100 times the rows of the others.
+    rows = [(1 + (i % 101 == 0), i, i // 13) for i in range(3000)] + [(9, 5, 0)]
+    df = spark.createDataFrame(rows, "k int, i int, shard int")
+    want, before = {}, {}
+    for k in (1, 2, 9):
+        own = sorted(x[1] for x in rows if x[0] == k)
+        want |= {(k, i): n for n, i in enumerate(own, 1)}
+        before |= {(k, i): j for i, j in zip(own, [None, *own])}
+    assert {(r.k, r.i): r.n for r in sequence.numbered(df, ["k"], "shard", ["i"], "n").collect()} == want
+    assert {(r.k, r.i): r.b for r in sequence.previous(df, ["k"], "shard", ["i"], "i", "b").collect()} == before
+    assert sequence.numbered(df.where("false"), ["k"], "shard", ["i"], "n").count() == 0
+
+
+def test_no_window_runs_over_a_whole_group_of_rows(spark):
+    df = spark.createDataFrame([(1, 1, 0, 0.5)], "k int, i int, shard int, conf double")
+    for plan in (sequence.numbered(df, ["k"], "shard", ["i"], "n"), sequence.previous(df, ["k"], "shard", ["i"], "i", "b"), rank.cuts(df, ["k"])):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        for line in text.splitlines():
+            if "Window [" in line and "row_number" in line:
+                assert "shard" in line.split("],")[1]
+
+
+def test_heads_against_a_walk():
+    r = random.Random(3)
+    for _ in range(50):
+        n = r.randrange(0, 200)
+        x = [r.random() for _ in range(n)]
+        looked = []
+
+        def breaks(head, a, b):
+            looked.append(b - a)
+            return np.array([x[j] + (j - head) / 40 > 1 for j in range(a, b)])
+
+        want, head = [], 0
+        for j in range(n):
+            if j == 0 or x[j] + (j - head) / 40 > 1:
+                want.append(j)
+                head = j
+        assert sequence.heads(n, breaks) == want

@@ -21,12 +21,15 @@ FILLERS = [
 def cuts(words: DataFrame, by: list[str], low: float = 0.15, very_low: float = 0.05) -> DataFrame:
     """``by, low_cut, very_low_cut``: confidences at ranks ``int(n * share)`` of the sorted ones.
 
-    Counted per distinct confidence first, so the ranking window runs over values, not rows.
+    Counted per distinct confidence first; those are summed up in hundredths of the scale and across these.
     """
-    n = words.where("conf is not null").groupBy(*by, "conf").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    upto = w.orderBy("conf").rowsBetween(Window.unboundedPreceding, 0)
-    n = n.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(w)})
+    n = words.where("conf is not null").groupBy(*by, "conf").agg(F.count("*").alias("n")).withColumn("shard", F.floor(F.col("conf") * 100))
+    shards = n.groupBy(*by, "shard").agg(F.sum("n").alias("own"))
+    every = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("own").over(every.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = shards.select(*by, "shard", before.alias("before"), F.sum("own").over(every).alias("total"))
+    within = F.sum("n").over(Window.partitionBy(*by, "shard").orderBy("conf").rowsBetween(Window.unboundedPreceding, 0))
+    n = n.withColumn("within", within).join(shards, [*by, "shard"]).withColumn("upto", F.col("before") + F.col("within"))
 
     def at(share: float) -> Column:
         return F.min(F.when(F.col("upto") > F.floor(F.col("total") * share), F.col("conf")))

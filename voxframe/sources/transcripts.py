@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators import sequence
 from voxframe.operators.words import finite
 
 TRANSCRIPT = (
@@ -50,8 +51,7 @@ def structural_violations(documents: DataFrame) -> DataFrame:
 
 def segment_violations(segments: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, seg_idx, rule``: times that are no numbers, bad intervals, segments out of order."""
-    before = F.lag("start_sec").over(Window.partitionBy(*keys).orderBy("seg_idx"))
-    s = segments.withColumn("before", before)
+    s = sequence.previous(segments.withColumn("_shard", F.floor(F.col("seg_idx") / 1000)), keys, "_shard", ["seg_idx"], "start_sec", "before")
     number = finite(F.col("start_sec")) & finite(F.col("end_sec"))
     late = F.coalesce(F.col("start_sec") < F.col("before"), F.lit(False))
     tests = [("not_finite", ~number), ("interval", number & ((F.col("start_sec") < 0) | (F.col("end_sec") < F.col("start_sec")))), ("order", number & late)]
