@@ -155,6 +155,24 @@ SQL: dict[str, str] = {
   q6 as (select rec_id, engine, low as key, arg_min({{'s': start_sec, 'w': core, 'c': conf, 'k': score, 'g': signals, 'v': variants}}, {{'a': coalesce(start_sec, -1e300), 'b': coalesce(word_id, -1), 'c': seg_id, 'd': pos}}) as x, count(*) as count from q5 group by rec_id, engine, low),
   q7 as (select rec_id, engine, key, x, count, row_number() over (partition by rec_id, engine order by x.k desc, count desc, x.s nulls first, key) as rank from q6)
 select rec_id, engine, rank, {_HMS.format("cast(round_even(x.s, 0) as bigint)")} as at, x.s as start_sec, x.w as word, x.c as conf, x.k as score, array_to_string(x.g, ',') as signals, array_to_string(x.v, ' ') as variants, count from q7 where rank <= 40""",
+    "lexicon_fuzzy": f"""with recursive {_RULES}, cs as (select {_core("text")} as core from words where text is not null), {_matched("cs")},
+  en as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents),
+  fm as (select key as form, canonical, ord from r where kind = 'fuzzy'),
+  lf as (select jj.core, kk.key from jj join kk using (core) where not cyr and lat and suggest is null and exact is null and latin is null and length(kk.key) >= 5 and kk.key not in (select w from en where w is not null) and kk.key not in (select form from fm)),
+  pr as (select core, key, form, canonical, ord, length(key) as la, length(form) as lb from lf join fm on substring(key, 1, 1) = substring(form, 1, 1) where 2 * least(length(key), length(form)) >= 0.82 * (length(key) + length(form)) and not starts_with(key, form) and not starts_with(form, key)),
+  ca as (select core, form, generate_subscripts(str_split(key, ''), 1) - 1 as i, unnest(str_split(key, '')) as ch from pr),
+  cb as (select core, form, generate_subscripts(str_split(form, ''), 1) - 1 as j, unnest(str_split(form, '')) as ch from pr),
+  m0 as (select core, form, i, j, i - row_number() over (partition by core, form, i - j order by i) as run from ca join cb using (core, form, ch)),
+  m as (select core, form, i, j, row_number() over (partition by core, form, i - j, run order by i desc) as len from m0),
+  rect(core, form, al, ah, bl, bh, bi, bj, bn) as (
+    select core, form, 0::bigint, la, 0::bigint, lb, null::bigint, null::bigint, null::bigint from pr
+    union all
+    select core, form, case when side = 0 then al else b.i + b.c end, case when side = 0 then b.i else ah end, case when side = 0 then bl else b.j + b.c end, case when side = 0 then b.j else bh end, b.i, b.j, b.c
+    from (select r.core, r.form, r.al, r.ah, r.bl, r.bh, arg_max({{'i': m.i, 'j': m.j, 'c': least(m.len, r.ah - m.i, r.bh - m.j)}}, least(m.len, r.ah - m.i, r.bh - m.j) * 1000000000000 - m.i * 1000000 - m.j) as b
+          from rect r join m on m.core = r.core and m.form = r.form and m.i >= r.al and m.i < r.ah and m.j >= r.bl and m.j < r.bh group by all) q, (values (0), (1)) v(side)),
+  sm as (select core, form, sum(bn) as n from (select distinct core, form, bi, bj, bn from rect where bi is not null) group by core, form),
+  rt as (select pr.*, 2.0 * sm.n / (la + lb) as ratio from pr join sm using (core, form) where 2.0 * sm.n / (la + lb) >= 0.82)
+select core, arg_min(canonical, {{'a': -ratio, 'b': ord}}) as canonical, 'fuzzy:' || printf('%.2f', max(ratio)) as reason from rt group by core""",
     "speech_chunks": """with recursive s as (select distinct seg_id, rec_id, engine, start_sec, end_sec from segments),
   i as (select s.rec_id, greatest(0.0, start_sec) as s, least(end_sec, coalesce(duration_sec, end_sec)) as e from s left join recordings r on r.rec_id = s.rec_id where start_sec is not null and end_sec is not null),
   o as (select *, row_number() over (partition by rec_id order by s, e) as n from i),
