@@ -5,12 +5,17 @@ hyphen U+002D, full-width characters are plain, an accent is composed with its
 letter where such a letter exists, and each word's letters belong to one
 alphabet. Pieces of a word in different alphabets ("QR-код") keep them.
 
-Most text is already in this form. A quick check, in the spirit of Unicode's
-normalisation quick-check properties, runs inside the JVM and passes such rows
-by. The others go to an Arrow-batched function, which isolates the unstable
-segments (runs between plain blanks, so that a base letter is never parted from
-its marks and a letter never from its word), normalises those and splices them
-into the unchanged rest.
+Most text is already in this form. A quick check runs inside the JVM and passes such
+rows by. It goes by properties of the characters, taken by rule from the Unicode
+database: a character is unstable if it has no place in the form (normalisation
+quick check "no", or folded here), may compose with what comes before it (quick
+check "maybe"), may change places with it (a combining class), or has a twin in
+another alphabet; so are neighbours of two alphabets and words of twins alone.
+
+The others go to an Arrow-batched function. It isolates the segments that hold
+something unstable, each up to the next normalisation boundaries (characters that
+neither compose nor belong to a word), normalises those and splices them into the
+unchanged rest.
 
 Null text stays null, empty text stays empty; repeated rows are treated alike.
 """
@@ -32,29 +37,17 @@ from voxframe.functions.arrow import map_batches
 CYRILLIC_TO_LATIN = dict(zip("аеорсухАВЕКМНОРСТХУіѕјІЅЈ", "aeopcyxABEKMHOPCTXYisjISJ", strict=True))
 # Greek letter -> Latin letter.
 GREEK_TO_LATIN = dict(zip("οαρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oapyABEZHIKMNOPTYX", strict=True))
+# Letters of other alphabets and of phonetic writing -> Latin letter; a word with more letters of such an alphabet keeps them.
+OTHER_TO_LATIN = dict(zip("ԁԛԝһӏԜԚҺӀօսհոցɡɑ", "dqwhlWQHIouhngga", strict=True))
 #: Latin letters that stand for a Cyrillic one; i, s and j never do in Russian words.
 LATIN_TO_CYRILLIC = {v: k for k, v in CYRILLIC_TO_LATIN.items() if v not in "isjISJ"}
-GREEK_TO_CYRILLIC = {k: LATIN_TO_CYRILLIC[v] for k, v in GREEK_TO_LATIN.items() if v in LATIN_TO_CYRILLIC}
 TO_LATIN = str.maketrans(CYRILLIC_TO_LATIN | GREEK_TO_LATIN)
-TO_CYRILLIC = str.maketrans(LATIN_TO_CYRILLIC | GREEK_TO_CYRILLIC)
+TO_CYRILLIC = str.maketrans(LATIN_TO_CYRILLIC | {k: LATIN_TO_CYRILLIC[v] for k, v in GREEK_TO_LATIN.items() if v in LATIN_TO_CYRILLIC})
+_OTHERS, _FROM_OTHERS = frozenset(OTHER_TO_LATIN), str.maketrans(OTHER_TO_LATIN)
 
 _WEAK_LATIN = "".join(LATIN_TO_CYRILLIC)
 _WEAK_CYRILLIC = "".join(CYRILLIC_TO_LATIN)
 _WEAK = _WEAK_LATIN + _WEAK_CYRILLIC + "".join(GREEK_TO_LATIN)
-# Characters that are never changed by themselves: ASCII, Latin-1 letters, Russian letters, common marks.
-_PLAIN = r"\x20-\x7E\n\r\tÀ-ÖØ-öø-ÿА-Яа-яЁё«»“”„‘’…–—№°§©"
-# The same pattern holds in Java and in Python's regex.
-_OTHER = rf"[^{_PLAIN}]"
-_MIXED = r"[A-Za-zÀ-ÖØ-öø-ÿ][А-Яа-яЁё]|[А-Яа-яЁё][A-Za-zÀ-ÖØ-öø-ÿ]"
-_LOOKALIKE_LATIN = rf"(?<![\p{{L}}\p{{M}}])[{_WEAK_LATIN}]+(?![\p{{L}}\p{{M}}])"
-_LOOKALIKE_CYRILLIC = rf"(?<![\p{{L}}\p{{M}}])[{_WEAK_CYRILLIC}]+(?![\p{{L}}\p{{M}}])"
-_SUSPECT_RU = regex.compile(f"{_OTHER}|{_MIXED}|{_LOOKALIKE_LATIN}")
-_SUSPECT_ANY = regex.compile(f"{_OTHER}|{_MIXED}|{_LOOKALIKE_CYRILLIC}")
-_SEGMENT = regex.compile(r"[^ \t\n\r]+")
-_WORD = regex.compile(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*")
-_MARK = regex.compile(r"\p{M}+")
-
-
 def _folding() -> dict[int, str | None]:
     """Blanks, hyphens, full-width and invisible characters, by rule from the Unicode database."""
     fold: dict[int, str | None] = {}
@@ -72,6 +65,37 @@ def _folding() -> dict[int, str | None]:
 _FOLD = _folding()
 
 
+def unstable() -> str:
+    """Ranges of the characters that may not be in the form where they stand, for a character class."""
+    second = {ord(n[-1]) for n in (unicodedata.normalize("NFD", chr(cp)) for cp in range(0xA0, 0x20000)) if len(n) > 1}  # what composes with something before it
+    second |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    foreign = {ord(c) for c in [*GREEK_TO_LATIN, *OTHER_TO_LATIN, *CYRILLIC_TO_LATIN] if not "А" <= c <= "я"}
+    own = [*range(0x7F, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0)]
+    found = [cp for cp in own if cp in _FOLD or cp in second or cp in foreign or unicodedata.combining(chr(cp)) or unicodedata.normalize("NFC", chr(cp)) != chr(cp)]
+    ranges: list[list[int]] = []
+    for cp in found:
+        if ranges and cp == ranges[-1][1] + 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+# Stable characters that most text consists of; they are passed by before the longer class is tried.
+_PLAIN = r"\x20-\x7E\n\r\tÀ-ÖØ-öø-ÿА-Яа-яЁё«»“”„‘’…–—№°§©"
+# The same patterns hold in Java and in Python's regex.
+_OTHER = rf"[^{_PLAIN}](?<=[{unstable()}])"
+_MIXED = r"\p{IsLatin}\p{IsCyrillic}|\p{IsCyrillic}\p{IsLatin}"
+_LOOKALIKE_LATIN = rf"(?<![\p{{L}}\p{{M}}])[{_WEAK_LATIN}]+(?![\p{{L}}\p{{M}}])"
+_LOOKALIKE_CYRILLIC = rf"(?<![\p{{L}}\p{{M}}])[{_WEAK_CYRILLIC}]+(?![\p{{L}}\p{{M}}])"
+_SUSPECT_RU = regex.compile(f"{_OTHER}|{_MIXED}|{_LOOKALIKE_LATIN}")
+_SUSPECT_ANY = regex.compile(f"{_OTHER}|{_MIXED}|{_LOOKALIKE_CYRILLIC}")
+# Up to what neither composes nor belongs to a word: letters, marks and hyphens, what is unstable, and what stands before that.
+_SEGMENT = regex.compile(rf"(?:[\p{{L}}\p{{M}}\-]|{_OTHER}|.(?={_OTHER}))+")
+_WORD = regex.compile(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*")
+_MARK = regex.compile(r"\p{M}+")
+
+
 def fold(text: str) -> str:
     """Plain blanks, hyphens and widths, and nothing invisible; letters and accents as they were."""
     return text.translate(_FOLD)
@@ -133,10 +157,19 @@ def _joined(piece: str) -> str:
     return "".join(out)
 
 
+def _from_others(piece: str) -> str:
+    """A piece whose other letters are Latin, or have twins there, in Latin letters alone."""
+    if _OTHERS.isdisjoint(piece):
+        return piece
+    rest = [c for c in piece if c not in _OTHERS and not unicodedata.combining(c)]
+    latin = any(_own(c) == "l" for c in rest) and all(_own(c) == "l" or c in _WEAK for c in rest)
+    return piece.translate(_FROM_OTHERS) if latin else piece
+
+
 def one_word(word: str, ru: bool) -> str:
     if word.isascii() and not ru:
         return word
-    pieces = word.split("-")
+    pieces = [_from_others(p) for p in word.split("-")]
     kinds = [_kinds(p) for p in pieces]
     told = next(("c" if "c" in k else "l" for k in kinds if k & {"c", "l", "x"}), None)
     out = []
