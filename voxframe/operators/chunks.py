@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from voxframe.functions.arrow import map_group
 from voxframe.operators import sequence
 
-_WHOLE = "rec_id long, start_sec double, end_sec double"
 SHARD_S = 600
 
 
-def _gather(longest: float, enough: float, least: float):
-    def run(group: dict) -> dict:
-        order = np.lexsort((group["e"], group["s"]))
-        s, e = (np.array(group[c], dtype=np.float64)[order] for c in ("s", "e"))
+def _heads(longest: float, enough: float, least: float):
+    """Where chunks begin among the spans of a part, by their starts and ends in order."""
 
-        def breaks(head: int, a: int, b: int) -> np.ndarray:
-            before, after = e[a - 1 : b - 1] - s[head], e[a:b] - s[head]
-            return (before == 0) | ((before > least) & ((after > longest) | (before > enough)))
+    @pandas_udf("array<int>")
+    def run(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        def of(s: np.ndarray, e: np.ndarray) -> list[int]:
+            def breaks(head: int, a: int, b: int) -> np.ndarray:
+                before, after = e[a - 1 : b - 1] - s[head], e[a:b] - s[head]
+                return (before == 0) | ((before > least) & ((after > longest) | (before > enough)))
 
-        first = np.array(sequence.heads(len(s), breaks))
-        last = np.r_[first[1:], len(s)] - 1
-        return {"rec_id": group["rec_id"][:1] * len(first), "start_sec": s[first].tolist(), "end_sec": e[last].tolist()}
+            return sequence.heads(len(s), breaks)
+
+        return pd.Series([of(s, e) for s, e in zip(starts, ends, strict=True)])
 
     return run
 
@@ -44,7 +45,10 @@ def speech_chunks(spans: DataFrame, longest: float = 22.0, enough: float = 15.0,
     rows = sequence.previous(rows, ["rec_id"], "shard", ["s", "e"], "own", "before")
     cut = F.col("before").isNull() | ((F.col("e") - F.col("before.s") > longest) & (F.col("before.e") - F.col("before.s") > least))
     rows = sequence.filled(rows.withColumn("part", F.when(cut, F.col("own"))), ["rec_id"], "shard", ["s", "e"], "part")
-    whole = map_group(rows.select("rec_id", "part", "s", "e"), ["rec_id", "part"], _gather(longest, enough, least), _WHOLE)
+    parts = rows.groupBy("rec_id", "part").agg(F.sort_array(F.collect_list("own")).alias("x"))
+    parts = parts.withColumn("heads", _heads(longest, enough, least)("x.s", "x.e")).select("rec_id", "x", "heads", F.posexplode("heads").alias("nth", "head"))
+    last = F.coalesce(F.try_element_at("heads", F.col("nth") + 2), F.size("x"))
+    whole = parts.select("rec_id", F.element_at("x", F.col("head") + 1)["s"].alias("start_sec"), F.element_at("x", last)["e"].alias("end_sec"))
     held = F.col("end_sec") - F.col("start_sec")
     whole = whole.where(held > least).withColumn("k", F.when(held > strict, F.floor(held / strict) + 1).otherwise(1))
     cuts = whole.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int")))).withColumn("step", held / F.col("k"))
